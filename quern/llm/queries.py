@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, tokencount, tokenfile
+from quern.llm import bpe, decontaminate, puquality, rules, simhash, tokencount, tokenfile
 
 QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_quality_rules": rules.op5_quality_rules,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_pu_quality": puquality.op7_pu_quality,
     "op8_token_files": tokenfile.op8_token_files,
     "op9_token_counts": tokencount.op9_token_counts,
+    "op10_simhash": simhash.op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
