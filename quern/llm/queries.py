@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, decontaminate, puquality, rules, simhash, tokencount, tokenfile
+from quern.llm import bpe, decontaminate, licences, pii, puquality, rules, secrets, simhash, tokencount, tokenfile
 
 QUERIES = {
+    "op1_licences": licences.op1_licences,
+    "op2_pii": pii.op2_pii,
+    "op3_secrets": secrets.op3_secrets,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_decontaminate": decontaminate.op6_decontaminate,
