@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quern.session import ship
 
@@ -41,7 +42,7 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:
+def arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function of one batch that gives a batch or a dict of columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,6 +53,20 @@ def arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | d
     return df.mapInArrow(run, schema)
 
 
+def packed(docs: DataFrame, **extra) -> DataFrame:
+    """docs as one struct column _row, beside the columns named; no name of theirs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(k) for k, c in extra.items()])
+
+
+def carried(df: DataFrame, schema: str) -> StructType:
+    """The schema of _row and of the columns named."""
+    return StructType([df.schema["_row"], *StructType.fromDDL(schema).fields])
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("_row.*")
+
+
 def crc_fold(column: str = "doc_id"):
     """crc32 of a column's text, modulo 3: the fold by which labels are held out where it is 1."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3

@@ -128,7 +128,7 @@ def _counted(docs: DataFrame, keys: np.ndarray, widths: list[int]) -> DataFrame:
 
 
 def _hits(docs: DataFrame, block: Windows) -> DataFrame:
-    """doc_id, row, n_words, spans (start, end of words, merged) and items of every document."""
+    """_row, row, n_words, spans (start, end of words, merged) and items of every document."""
     widths = sorted(set(block.width.tolist()))
 
     def one(batch: pa.RecordBatch) -> dict:
@@ -155,9 +155,9 @@ def _hits(docs: DataFrame, block: Windows) -> DataFrame:
             spans += [merged(found[d][0]) if d in found else [] for d in range(hi - lo)]
             items += [sorted(found[d][1]) if d in found else [] for d in range(hi - lo)]
         span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-        return {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "n_words": pa.array(counts, pa.int64()), "spans": pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], span), "items": pa.array(items, pa.list_(pa.string()))}
+        return {"_row": batch.column("_row"), "row": batch.column("row"), "n_words": pa.array(counts, pa.int64()), "spans": pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], span), "items": pa.array(items, pa.list_(pa.string()))}
 
-    return _io.arrow(docs, one, "doc_id long, row long, n_words long, spans array<struct<first:long,end:long>>, items array<string>")
+    return _io.arrow(docs, one, _io.carried(docs, "row long, n_words long, spans array<struct<first:long,end:long>>, items array<string>"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -170,9 +170,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, max_block: int = MAX_BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, spans of hit words and item ids of every document."""
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, max_block: int = MAX_BLOCK, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs (or their columns keep) as the struct column _row, n_words, spans of hit words and item ids of every document."""
+    kept = docs.columns if keep is None else keep
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(f"`{text}`").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).dropna().distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // max_block))
@@ -196,20 +197,26 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: i
     whole = results[0]
     for other in results[1:]:
         whole = whole.unionByName(other)
-    whole = whole.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    whole = whole.groupBy("row").agg(F.first("_row").alias("_row"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     joined = F.aggregate(
         "spans",
         F.expr("cast(array() as array<struct<first:bigint,end:bigint>>)"),
         lambda out, s: F.when((F.size(out) > 0) & (s["first"] <= F.element_at(out, -1)["end"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["first"].alias("first"), F.greatest(s["end"], F.element_at(out, -1)["end"]).alias("end"))))).otherwise(F.concat(out, F.array(s))),
     )
     # the last span is read only where there is one
-    return whole.select("doc_id", "n_words", joined.alias("spans"), "items")
+    return whole.select("_row", "n_words", joined.alias("spans"), "items")
 
 
 def hit_words(spans: str = "spans"):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of docs in which no window of the benchmark occurs."""
+    return _io.unpacked(overlaps(docs, benchmark, text=text, **options).where(F.size("spans") == 0))
+
+
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
-    found = overlaps(_io.table(spark, sf_dir, "documents"), _io.table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+    docs = _io.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = overlaps(docs, _io.table(spark, sf_dir, "benchmark"), keep=("doc_id",))
+    return found.select("_row.doc_id", "n_words", hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))

@@ -158,6 +158,18 @@ def judged(measured: DataFrame, rules: list[Rule]) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop(*RATIOS)
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that pass the base rule and all rules learnt from labels, in one pass over the texts.
+
+    Only the sample's documents, max_rows ids at most, are measured for learning.
+    """
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").dropna().select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
+    rules = fit(stats.measured(known), labels, max_rows)
+    judged_rows = with_ratios(stats.attached(docs, text))
+    return _io.unpacked(judged_rows.where(~base_failed() & verdict(rules).isNull()))
+
+
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     measured = _io.checkpoint(stats.measured(_io.table(spark, sf_dir, "documents")))
     rules = fit(measured, _io.table(spark, sf_dir, "labels"))

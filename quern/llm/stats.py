@@ -109,3 +109,15 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in NAMES)
     return _io.arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), one, schema)
+
+
+def attached(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs as the struct column _row, and NAMES."""
+    source = _io.packed(docs, text=F.col(f"`{text}`").cast("string"))
+
+    def one(batch: pa.RecordBatch) -> dict:
+        rows = [measure(data, offsets) for _, _, data, offsets in blocks(batch.column("text"))]
+        values = np.concatenate(rows) if rows else np.zeros((0, len(NAMES)), np.int64)
+        return {"_row": batch.column("_row")} | {n: values[:, i] for i, n in enumerate(NAMES)}
+
+    return _io.arrow(source, one, _io.carried(source, ", ".join(f"{n} long" for n in NAMES)))
