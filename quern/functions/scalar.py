@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Words that carry no topic in keyword queries.
 STOP_WORDS = "a about above after all am an and any are as at be been before both but by did do does for from had has have how if in into is it its no not of on or our out over so that the their them they this to under up was we were what when where which who why with you your".split()
@@ -16,7 +17,7 @@ STOP_WORDS = "a about above after all am an and any are as at be been before bot
 # --- text ---------------------------------------------------------------
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda s: unicodedata.normalize("NFKC", s) if s is not None and not s.isascii() else s)
 
@@ -114,7 +115,11 @@ def detect_language(text: Column, shortest: int = 20, threshold: float = 0.03) -
     """(language, confidence): share of words that are frequent in a language, top minus runner-up; und where unsure."""
     found = words(text)
     n = F.greatest(F.size(found), F.lit(1))
-    shares = F.array(*[F.struct((F.size(F.filter(found, lambda w, known=known: w.isin(known.split()))) / n).alias("share"), F.lit(code).alias("language")) for code, known in LANGUAGE_WORDS.items()])
+
+    def share(known: list[str]) -> Column:
+        return F.size(F.filter(found, lambda w: w.isin(known))) / n
+
+    shares = F.array(*[F.struct(share(known.split()).alias("share"), F.lit(code).alias("language")) for code, known in LANGUAGE_WORDS.items()])
     ranked = F.reverse(F.array_sort(shares))
     gap = F.round(ranked[0]["share"] - ranked[1]["share"], 6)
     sure = (F.length(text) >= shortest) & (gap >= threshold)
@@ -171,7 +176,7 @@ def json_list(column: Column, path: str) -> Column:
     return F.coalesce(F.from_json(F.get_json_object(column, path), "array<string>"), F.array().cast("array<string>"))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def canonical_json(values: pd.Series) -> pd.Series:
     """JSON with sorted keys and no white space; text that isn't JSON stays."""
     import json

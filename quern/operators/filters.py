@@ -145,7 +145,7 @@ def has_all(column: Column, values: list[str]) -> Column:
 
 def delimited_has_all(column: Column, values: list[str], mark: str = ",") -> Column:
     """A delimited list in a string column holds every value."""
-    return has_all(F.transform(F.split(F.coalesce(column, F.lit("")), mark), F.trim), values)
+    return has_all(F.transform(F.split(F.coalesce(column, F.lit("")), mark), lambda v: F.trim(v)), values)
 
 
 def json_has_all(column: Column, path: str, values: list[str]) -> Column:

@@ -13,7 +13,7 @@ DAY = 86_400
 
 
 def age_days(at: Column, now: Column) -> Column:
-    return F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / DAY)
+    return F.floor((F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(at.cast("timestamp"))) / DAY)
 
 
 def retention_plan(nodes: DataFrame, policy: Mapping[str, tuple[str, int | None]], now: Column, at: str = "updated_at", kind: str = "type") -> DataFrame:

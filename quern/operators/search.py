@@ -82,7 +82,7 @@ def head(df: DataFrame, k: int, key: str = "query", score: str = "score") -> Dat
 def short_token_search(docs: DataFrame, tokens: Sequence[str], k: int, id_column: str = "id", text: str = "text") -> DataFrame:
     """id, score: documents that hold every token, by occurrences over the largest number of them."""
     count = sum((F.regexp_count(F.col(text), F.lit("\\Q" + t + "\\E")) for t in tokens), F.lit(0))
-    hits = docs.where(" and ".join(["true"])).select(F.col(id_column).alias("id"), F.col(text).alias("_x"), count.alias("n"))
+    hits = docs.select(F.col(id_column).alias("id"), F.col(text).alias("_x"), count.alias("n"))
     for t in tokens:
         hits = hits.where(F.col("_x").contains(t))
     best = F.broadcast(hits.agg(F.max("n").alias("_m")))
@@ -298,10 +298,15 @@ def present(hits: DataFrame, texts: DataFrame, length: int = 120, full_at: float
 
 def deferred_matches(nodes: DataFrame, paths: Sequence[str], topics: Sequence[str]) -> DataFrame:
     """Deferred nodes whose file paths or topics match, oldest first."""
-    under = [F.exists("paths", lambda p, x=x: p.startswith(x)) for x in paths]
-    about = [F.exists("topics", lambda t, x=x: F.lower(t).contains(x.lower())) for x in topics]
+
+    def under(x: str) -> Column:
+        return F.exists("paths", lambda p: p.startswith(x))
+
+    def about(x: str) -> Column:
+        return F.exists("topics", lambda t: F.lower(t).contains(x.lower()))
+
     condition = F.lit(False)
-    for c in [*under, *about]:
+    for c in [*map(under, paths), *map(about, topics)]:
         condition = condition | F.coalesce(c, F.lit(False))
     return nodes.where(F.col("type").startswith("deferred") & condition).orderBy("created_at", "id")
 

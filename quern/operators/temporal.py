@@ -81,6 +81,6 @@ def commit_batch(writes: DataFrame, current: DataFrame) -> DataFrame:
     return upsert(current, writes.drop("if_absent", "if_revision"), ["id"], revision="revision")
 
 
-def intervals(df: DataFrame, key: str, at: str) -> DataFrame:
-    """Each row with the time of the key's next one as valid_to."""
-    return df.withColumn("valid_to", F.lead(at).over(Window.partitionBy(key).orderBy(at)))
+def intervals(df: DataFrame, key: str, at: str, *ties: str) -> DataFrame:
+    """Each row with the time of the key's next one as valid_to; equal times are ordered by ties."""
+    return df.withColumn("valid_to", F.lead(at).over(Window.partitionBy(key).orderBy(at, *ties)))

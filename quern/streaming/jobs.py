@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-EVENT = T.StructType.fromDDL("id string, workspace string, operation_kind string, payload string, received_at timestamp")
+EVENT = T.StructType([*(T.StructField(n, T.StringType()) for n in ("id", "workspace", "operation_kind", "payload")), T.StructField("received_at", T.TimestampType())])
 
 
 def files(spark: SparkSession, folder: str, schema: T.StructType | str, kind: str = "parquet", per_trigger: int = 100) -> DataFrame:
