@@ -56,9 +56,12 @@ class WordEncoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-        self.split = self.rule(path)
+        self.split, self.bpe = self.rule(path), self.model.model
         self.normal = self.model.normalizer.normalize_str if self.split else None
-        self.pieces, self.chunks = Memo(self.one, PIECES), Memo(self.chunk, CHUNKS)
+        self.pieces, self.chunks = Memo(self.piece, PIECES), Memo(self.chunk, CHUNKS)
+        # byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100
+        shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+        self.byte_level = dict(zip([b for b in range(256) if b not in shown], range(0x100, 0x200), strict=False))
 
     @staticmethod
     def rule(path: str):
@@ -72,13 +75,28 @@ class WordEncoder:
         return regex.compile(parts[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
 
     def one(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+        return self.packed(self.model.encode(text, add_special_tokens=False).ids)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of one pre-token by the library's model alone, without its steps before that."""
+        shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.byte_level)
+        return self.packed([t.id for t in self.bpe.tokenize(shown)])
 
     def chunk(self, chunk: str) -> bytes:
-        if "<|" in chunk:
-            return self.one(chunk)
         if chunk.isascii():
+            if "<|" in chunk:
+                return self.one(chunk)
             normal = chunk.lower()
+            # letters alone, or with one more character after them, need no pattern
+            if normal.isalpha():
+                return self.pieces[normal]
+            if normal[-1:] in ",.;:!?)" and normal[:-1].isalpha():
+                return self.pieces[normal[:-1]] + self.pieces[normal[-1]]
+        elif "<|" in chunk:
+            return self.one(chunk)
         elif self.normal(normal := self.normal(chunk)) != normal:
             return self.one(chunk)
         return b"".join(map(self.pieces.__getitem__, self.split(normal)))
