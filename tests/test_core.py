@@ -272,3 +272,55 @@ def test_lifecycle(spark):
     assert ids(lifecycle.cold_nodes(nodes, now)) == ["b"]
     assert lifecycle.decompose({"kind": "rename", "field": "a", "to": "b"})[-1] == {"phase": "contract", "do": "drop a"}
     assert lifecycle.budget_bytes(10 << 40) == 50 << 30
+
+
+@pytest.fixture(scope="module")
+def memory(spark):
+    rows = [("n1", "the gateway retries twice before it fails", "decision", "n2"), ("n2", "the gateway retries three times before it fails", "decision", None), ("n3", "lunch is at noon", "note", None), ("n4", "gateway timeouts are logged", "note", None)]
+    nodes = spark.createDataFrame(rows, "id string, text string, type string, superseded_by string").withColumns({"updated_at": F.lit("2024-01-01").cast("timestamp"), "curated": F.lit(False)})
+    edges = spark.createDataFrame([("n2", "n3", "mentions", None), ("n3", "n4", "mentions", None)], "src string, dst string, relation string, valid_to timestamp")
+    return nodes, edges
+
+
+def test_recall_replaces_superseded_and_finds_neighbours(spark, memory):
+    from quern.operators import recall
+
+    nodes, edges = memory
+    asked = spark.createDataFrame([("q", "gateway retries")], "query string, text string")
+    hits, near = recall.recall(nodes, asked, 3, edges=edges, today=F.lit("2024-02-01").cast("timestamp"))
+    found = [r["id"] for r in hits.orderBy("rank").collect()]
+    assert found[0] == "n2" and "n1" not in found and "n3" not in found
+    assert ids(near) == ["n3"]
+    text = recall.context(hits, nodes.select("id", "text")).first()["context"]
+    assert text.startswith("- the gateway retries three")
+    shown = recall.render(recall.report(nodes, edges), "html")
+    assert "<h2>hubs</h2>" in shown and "n3" in recall.render({"hubs": graph.top_hubs(edges)})
+
+
+def test_engine(spark, memory, tmp_path):
+    from quern.api import Engine
+    from quern.operators.joins import Hop
+
+    nodes, edges = memory
+    e = Engine(spark, str(tmp_path), nodes.withColumns({"label": F.col("text"), "content": F.col("text"), "tags": F.array().cast("array<string>")}), edges, nodes.select("id", "text"))
+    e.create(TableSchema("a", (ColumnSpec("id", primary=True), ColumnSpec("n", "integer"), ColumnSpec("at", "datetime"))))
+    e.create(TableSchema("b", (ColumnSpec("id", primary=True), ColumnSpec("a_id"))))
+    e.insert("a", [{"id": "x", "n": 1, "at": datetime.datetime(2024, 1, 2)}, {"id": "y", "n": 5, "at": datetime.datetime(2024, 2, 2)}])
+    e.insert("b", [{"id": "1", "a_id": "x"}, {"id": "2", "a_id": "x"}])
+    assert e.aggregate("a", "sum", "n").first()["value"] == 6.0
+    assert [r["bucket"] for r in e.time_series("a", "at", "month", "count").collect()] == ["2024-01", "2024-02"]
+    assert e.join("a", [Hop("b", "id", "a_id")]).count() == 2
+    plan = {"steps": [{"op": "filter", "type": "a", "where": [{"field": "n", "op": "gt", "value": 1}]}]}
+    assert e.plan(plan).count() == 1 and e.plan_report(plan)["status"] == "ok"
+    assert e.update_by_query("a", {"eq": {"id": "x"}}, {"n": 9}) == 1 and e.delete_by_query("a", {"gt": {"n": 8}}) == 1
+    assert ids(e.traverse(["n2"], 2)) == ["n3", "n4"]
+    assert ids(e.search("gateway timeouts")) == ["n4"]
+    assert ids(e.search_texts("lunch noon")) == ["n3"]
+
+
+def test_verbatim_view_keeps_the_last_live_row(spark):
+    from quern.operators import recall
+
+    rows = [("a", 1, "old", False), ("a", 2, "new", False), ("b", 1, "gone", False), ("b", 2, None, True)]
+    live = recall.canonical(spark.createDataFrame(rows, "id string, version int, text string, is_tombstone boolean"))
+    assert [(r["id"], r["text"]) for r in live.collect()] == [("a", "new")]
