@@ -53,6 +53,8 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 2, directions: Seq
     walked = steps(live(edges), directions).withColumn("_out", (F.col("direction") == IN).cast("int"))
     if allowed is not None:
         walked = walked.join(allowed.select(F.col("id").alias("to")).distinct(), "to", "left_semi")
+    number = seeds.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    last = F.lpad(F.col("_first.t").cast("string"), 20, "0") if number else F.col("_first.t").cast("string")
     frontier = checkpoint(seeds.select("id").distinct().select("id", F.struct(F.lit(0).alias("d"), F.lit("").alias("path")).alias("_key")))
     visited, levels = frontier.select("id"), []
     for level in range(1, min(max(depth, 1), 5) + 1):
@@ -62,7 +64,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 2, directions: Seq
         key = F.struct(F.col("_key.path").alias("p"), F.col("_out").alias("o"), F.col("relation").alias("r"), F.col("to").alias("t"))
         first = reached.groupBy(F.col("to").alias("id")).agg(F.min_by(F.struct("relation", "direction", F.col("from").alias("via")), key).alias("_by"), F.min(key).alias("_first"))
         # an unbounded level is ordered by path, not by one global number
-        path = F.concat(F.col("_first.p"), F.lit("\u0001"), F.col("_first.o").cast("string"), F.lit("\u0002"), F.col("_first.r"), F.lit("\u0002"), F.lpad(F.col("_first.t").cast("string"), 20, "0"))
+        path = F.concat(F.col("_first.p"), F.lit("\u0001"), F.col("_first.o").cast("string"), F.lit("\u0002"), F.col("_first.r"), F.lit("\u0002"), last)
         found = checkpoint(first.select("id", F.lit(level).alias("depth"), "_by.relation", "_by.direction", "_by.via", F.struct(F.lit(level).alias("d"), path.alias("path")).alias("_key")))
         if found.isEmpty():
             break

@@ -64,11 +64,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_column: str = "id", tex
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = weighed.withColumn("part", part).join(F.broadcast(asked), "term").groupBy("query", "id").agg(F.sum("part").alias("raw"))
-    return head(normalised(scored, "raw"), k)
+    return normalised(head(scored, k, score="raw"), "raw")
 
 
 def normalised(df: DataFrame, raw: str) -> DataFrame:
-    """score: raw over the query's largest."""
+    """score: raw over the query's largest; for heads, which hold it, so that no more than these rows are gathered."""
     best = F.max(raw).over(Window.partitionBy("query"))
     return df.withColumn("score", F.col(raw) / F.greatest(best, F.lit(1e-9))).drop(raw)
 
