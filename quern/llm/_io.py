@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,7 +15,18 @@ from pyspark.sql.types import StructType
 from quern.session import ship
 
 
+#: Rows of an Arrow batch at most: batches of whole texts then take a few MB.
+ARROW_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that Python workers get, where the session has the default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,12 +62,19 @@ def arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | d
             out = function(batch)
             yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def packed(docs: DataFrame, **extra) -> DataFrame:
-    """docs as one struct column _row, beside the columns named; no name of theirs can clash."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(k) for k, c in extra.items()])
+def packed(docs: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """docs (or some columns of theirs) as one struct column _row: no name of theirs can clash with what is added."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)]).alias("_row"))
+
+
+def field(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A field of the struct column _row; null where the row is."""
+    return pc.struct_field(batch.column("_row"), [batch.column("_row").type.get_field_index(name)])
 
 
 def carried(df: DataFrame, schema: str) -> StructType:

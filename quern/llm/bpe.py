@@ -147,9 +147,12 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """docs with a column of ids as little-endian unsigned 32-bit integers (binary)."""
-    return _coded(docs, path, pattern, text, ids, "encode")
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", round_trip: str | None = None) -> DataFrame:
+    """docs with a column of ids as little-endian unsigned 32-bit integers (binary).
+
+    round_trip: name of a column that says whether the ids decode to the text again.
+    """
+    return _coded(docs, path, pattern, text, ids, "encode", round_trip)
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids", raw: str = "decoded") -> DataFrame:
@@ -157,18 +160,22 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids", raw
     return _coded(docs, path, pattern, ids, raw, "decode")
 
 
-def _coded(docs: DataFrame, path: str, pattern: str, source: str, target: str, verb: str) -> DataFrame:
-    columns = [c for c in docs.columns if c != target]
+def _coded(docs: DataFrame, path: str, pattern: str, source: str, target: str, verb: str, checked: str | None = None) -> DataFrame:
+    _io.small_batches(docs.sparkSession)
+    columns = [c for c in docs.columns if c not in (target, checked)]
 
     def run(batches):
-        code = getattr(codec(path, pattern), verb)
-        empty = "" if verb == "encode" else b""
+        own = codec(path, pattern)
+        code, empty = getattr(own, verb), "" if verb == "encode" else b""
         for batch in batches:
-            out = pa.array([code(x.as_py() or empty) for x in batch.column(source)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), out], [*columns, target])
+            out = [code(x.as_py() or empty) for x in batch.column(source)]
+            extra = [pa.array(out, pa.binary())]
+            if checked:
+                extra.append(pa.array([own.decode(i) == (x.as_py() or "").encode() for i, x in zip(out, batch.column(source), strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *extra], [*columns, target, *([checked] if checked else [])])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(columns).schema]
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{target}` binary"]))
+    return docs.mapInArrow(run, ", ".join([*fields, f"`{target}` binary", *([f"`{checked}` boolean"] if checked else [])]))
 
 
 def op4_byte_bpe(spark, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -127,13 +127,13 @@ def _counted(docs: DataFrame, keys: np.ndarray, widths: list[int]) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _hits(docs: DataFrame, block: Windows) -> DataFrame:
+def _hits(docs: DataFrame, block: Windows, text: str | None) -> DataFrame:
     """_row, row, n_words, spans (start, end of words, merged) and items of every document."""
     widths = sorted(set(block.width.tolist()))
 
     def one(batch: pa.RecordBatch) -> dict:
         counts, spans, items = [], [], []
-        for lo, hi, data, starts, ends, ranges, hashed in _blocks(batch.column("text")):
+        for lo, hi, data, starts, ends, ranges, hashed in _blocks(batch.column("text") if text is None else _io.field(batch, text)):
             own, raw = doc_of(ranges), None
             found: dict[int, tuple[list, set]] = {}
             for width in widths:
@@ -172,8 +172,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, max_block: int = MAX_BLOCK, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """docs (or their columns keep) as the struct column _row, n_words, spans of hit words and item ids of every document."""
+    # without keep the text is read from the row and doesn't go to the workers twice
     kept = docs.columns if keep is None else keep
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(f"`{text}`").cast("string").alias("text"))
+    source = _io.packed(docs) if keep is None else docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(f"`{text}`").cast("string").alias("text"))
+    plain = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).dropna().distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // max_block))
@@ -190,8 +192,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: i
         keys = np.unique(np.concatenate([h for _, h in per_window])) if per_window else np.zeros(0, np.uint64)
         widths = sorted({w for w, _ in per_window})
         # no more counts than the block has shingles
-        counts = {r["h"] & (1 << 64) - 1: r["n"] for r in _counted(source, keys, widths).toLocalIterator()} if len(keys) else {}
-        results.append(_hits(source, _arrange(found, per_window, counts)))
+        counts = {r["h"] & (1 << 64) - 1: r["n"] for r in _counted(plain, keys, widths).toLocalIterator()} if len(keys) else {}
+        results.append(_hits(source, _arrange(found, per_window, counts), None if keep is not None else text))
     if n == 1:
         return results[0].drop("row")
     whole = results[0]

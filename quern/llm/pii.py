@@ -228,6 +228,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", counts: bool =
 
     back: undoes it, given the key.
     """
+    _io.small_batches(docs.sparkSession)
     names = [f"pii_{k}" for k in KINDS] if counts else []
     columns = [c for c in docs.columns if c not in names]
 

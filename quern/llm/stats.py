@@ -113,10 +113,10 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 def attached(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs as the struct column _row, and NAMES."""
-    source = _io.packed(docs, text=F.col(f"`{text}`").cast("string"))
+    source = _io.packed(docs)
 
     def one(batch: pa.RecordBatch) -> dict:
-        rows = [measure(data, offsets) for _, _, data, offsets in blocks(batch.column("text"))]
+        rows = [measure(data, offsets) for _, _, data, offsets in blocks(_io.field(batch, text))]
         values = np.concatenate(rows) if rows else np.zeros((0, len(NAMES)), np.int64)
         return {"_row": batch.column("_row")} | {n: values[:, i] for i, n in enumerate(NAMES)}
 
