@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from quern.functions.scalar import STOP_WORDS, char_windows, has_token, words
 
 K1, B = 1.2, 0.75
+#: Distinct query terms up to which documents are scanned by one pattern instead of being cut into words.
+MAX_PATTERN_TERMS = 256
 RRF_K = 60
 
 
@@ -51,11 +53,20 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_column: str = "id", tex
     Corpus totals and document frequencies cover all documents; only postings of
     query terms are shuffled. stop_share drops terms in that share of documents.
     """
-    source = docs.select(F.col(id_column).alias("id"), terms(F.col(text)).alias("_t"))
     asked = queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    totals = source.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl"))
-    wanted = F.broadcast(asked.agg(F.collect_set("term").alias("_wanted")))  # the terms of the queries given
-    hit = source.crossJoin(wanted).select("id", F.size("_t").alias("dl"), F.explode(F.filter("_t", lambda t: F.array_contains("_wanted", t))).alias("term"))
+    named = sorted({r["term"] for r in asked.select("term").distinct().limit(MAX_PATTERN_TERMS + 1).collect()})
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    # a document's length needs no stems
+    length = F.size(F.filter(F.split(low, "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(list(STOP_WORDS))))
+    if named and len(named) <= MAX_PATTERN_TERMS:
+        # a term is the start of all words that it stands for: only these are cut out and stemmed
+        found = F.regexp_extract_all(low, F.lit("(?<![a-z0-9])(?:" + "|".join(named) + ")[a-z0-9]*"), F.lit(0))
+        source = docs.select(F.col(id_column).alias("id"), length.alias("dl"), found.alias("_f"))
+        hit = source.where(F.size("_f") > 0).select("id", "dl", F.explode(F.filter(terms(F.array_join("_f", " ")), lambda t: t.isin(named))).alias("term"))
+    else:
+        source = docs.select(F.col(id_column).alias("id"), length.alias("dl"), terms(F.col(text)).alias("_t"))
+        hit = source.select("id", "dl", F.explode("_t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    totals = source.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     posted = hit.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
     weighed = posted.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))
