@@ -102,11 +102,10 @@ def freshness(df: DataFrame, synced: str, now: Column, ttl_seconds: int = 86_400
     """One row: fresh, stale and never synced counts, percent of the synced that are fresh, ends and the first stale ids."""
     age = F.unix_timestamp(now) - F.unix_timestamp(F.col(synced))
     known = F.col(synced).isNotNull()
-    stale_ids = F.slice(F.array_sort(F.collect_list(F.when(known & (age > ttl_seconds), F.col(id_column)))), 1, most)
-    bounded = df.where(known & (age > ttl_seconds)).orderBy(id_column).limit(most).agg(F.array_sort(F.collect_list(id_column)).alias("stale_ids")) if most < 2**31 else df.agg(stale_ids.alias("stale_ids"))
+    first = df.where(known & (age > ttl_seconds)).orderBy(id_column).limit(most).agg(F.array_sort(F.collect_list(id_column)).alias("stale_ids"))
     counts = df.agg(F.count_if(known & (age <= ttl_seconds)).alias("fresh"), F.count_if(known & (age > ttl_seconds)).alias("stale"), F.count_if(~known).alias("never"), F.min(synced).alias("oldest"), F.max(synced).alias("newest"))
     share = F.when(F.col("fresh") + F.col("stale") > 0, F.round(100.0 * F.col("fresh") / (F.col("fresh") + F.col("stale")), 4)).otherwise(100.0)
-    return counts.withColumn("percent_fresh", share).crossJoin(bounded)  # one row by one row
+    return counts.withColumn("percent_fresh", share).crossJoin(first)  # one row by one row
 
 
 def outcomes(events: DataFrame, node: str = "node_id", status: str = "status") -> DataFrame:

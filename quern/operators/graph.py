@@ -209,21 +209,20 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], revisio
 
     Incoming rows must have distinct keys.
     """
-    a, b = current.alias("a"), incoming.alias("b")
-    found = a.join(b, list(keys), "full_outer")
-    new = F.col(f"b.{[c for c in incoming.columns if c not in keys][0]}") if len(incoming.columns) > len(keys) else None
-    marked = a.join(incoming.withColumn("_in", F.lit(True)).alias("b"), list(keys), "full_outer") if new is not None else found
+    new = incoming.withColumn("_in", F.lit(True)).alias("b")
+    both = current.alias("a").join(new, list(keys), "full_outer")
     columns = []
     for c in current.columns:
+        old = F.col(f"a.{c}") if c not in keys else None
         if c in keys:
             columns.append(F.col(c))
         elif c == revision:
-            columns.append(F.when(F.col("_in"), F.coalesce(F.col(f"a.{c}"), F.lit(0)) + 1).otherwise(F.col(f"a.{c}")).alias(c))
+            columns.append(F.when(F.col("_in"), F.coalesce(old, F.lit(0)) + 1).otherwise(old).alias(c))
         elif c in incoming.columns:
-            columns.append(F.when(F.col("_in"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c))
+            columns.append(F.when(F.col("_in"), F.col(f"b.{c}")).otherwise(old).alias(c))
         else:
-            columns.append(F.col(f"a.{c}"))
-    return marked.select(columns)
+            columns.append(old)
+    return both.select(columns)
 
 
 def supersede(nodes: DataFrame, old, new, reason: str, at: Column) -> DataFrame:
