@@ -174,7 +174,7 @@ def _email(text: str, feistel: Feistel, back: bool) -> str | None:
 
 
 _PATTERNS: dict[str, tuple[re.Pattern, Callable[[str, Feistel, bool], str | None]]] = {
-    "email": (re.compile(r"(?<![\w.%+-])[^\W_](?:[\w.%+-]{0,63})@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"), _email),
+    "email": (re.compile(r"(?<![^\W_])[^\W_](?:[\w.%+-]{0,63})@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"), _email),
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), _iban),
     "ip": (re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])"), _ip),
     "card": (re.compile(r"(?<!\w)(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?!\w)"), _card),

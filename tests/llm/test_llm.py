@@ -272,6 +272,13 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert by_id(pii.pseudonymise(frame(spark, rows), b"other"), "text")[0] != got[0]
 
 
+@pytest.mark.parametrize("text", ["...jane.doe@mail.example.com", "_jane@x.org_", "%%%j.12@mail3.example.com###", "to:jane@x.org,joe@y.org", "élan.7@x.org"])
+def test_addresses_next_to_marks(text):
+    found = pii.findings(text, pii.Feistel(b"k"))
+    assert [f[2] for f in found] == ["email"] * text.count("@")
+    assert pii.rewrite(pii.rewrite(text, found), pii.findings(pii.rewrite(text, found), pii.Feistel(b"k"), back=True)) == text
+
+
 def brute_secrets(t):
     out = []
     for kind, pattern, least in ((0, r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), (1, "AKIA[A-Z0-9]+", 20), (2, "[0-9a-f]+", 24)):
