@@ -11,8 +11,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def one(v):
-        if hasattr(v, "tolist"):
-            return str(v.tolist())
+        v = v.tolist() if hasattr(v, "tolist") else v
+        if isinstance(v, list):
+            return str(v)
         if v is None or v is pd.NaT or v is pd.NA or v != v:
             return "None"
         if isinstance(v, pd.Timestamp):
