@@ -34,8 +34,9 @@ from quern.llm import _io
 from quern.llm._text import mix
 from quern.llm.components import components
 
-#: Fingerprints that a chunk of a tile holds, about.
-TILE = 8192
+#: Fingerprints that a chunk of a tile holds, about: some 3 MB and four billion pairs, a quarter of a minute of a
+#: core. A row is sent on once for each chunk that it meets, so smaller chunks cost shuffle and larger ones tasks.
+TILE = 65_536
 #: Side of the blocks that numpy compares.
 BLOCK = 1024
 _BASE = 24
