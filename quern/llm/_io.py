@@ -86,6 +86,18 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
 
 
+def sampled(df: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+    """At most so many rows: all of them where there are no more, else those whose key's hash lies under a bound.
+
+    The sample doesn't depend on partitions, and no more than it reaches one task.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    bound = int(0.95 * most / n * (1 << 32))
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 32)) < bound).limit(most)
+
+
 def crc_fold(column: str = "doc_id"):
     """crc32 of a column's text, modulo 3: the fold by which labels are held out where it is 1."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3

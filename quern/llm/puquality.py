@@ -8,8 +8,8 @@ logistic loss: where the bracket turns negative, a step goes against its
 gradient instead. It is linear in steps of text statistics (is a ratio above a
 quantile of the unlabelled rows?), so scores are a Spark expression.
 
-At most ``MAX_POSITIVES`` and ``MAX_UNLABELLED`` training rows are taken (those
-of the smallest hash of id); held-out rows (crc32 of the id's text modulo 3 is
+At most ``MAX_POSITIVES`` and ``MAX_UNLABELLED`` training rows are taken (chosen
+by the hash of their ids); held-out rows (crc32 of the id's text modulo 3 is
 1) are neither. Every document is scored, from its whole text. Nulls and empty
 texts have statistics of 0 and a score like any other. Where there are no
 positives all scores are 0.5.
@@ -82,10 +82,11 @@ def train(measured: DataFrame, labels: DataFrame, max_positives: int = MAX_POSIT
     rows = rules.with_ratios(measured.where(_io.crc_fold() != 1))
 
     def sample(df: DataFrame, most: int) -> dict[str, np.ndarray]:
-        taken = df.select(*FEATURES).orderBy(F.xxhash64("doc_id"), *FEATURES).limit(most).toPandas()
+        taken = _io.sampled(df, most).select(*FEATURES).toPandas().sort_values(list(FEATURES), kind="stable")  # rows come in any order
         return {f: taken[f].to_numpy(float) for f in FEATURES}
 
-    positives = sample(rows.join(known.where("quality = 1").select("doc_id"), "doc_id", "left_semi"), max_positives)
+    trusted = _io.sampled(known.where("quality = 1").select("doc_id"), max_positives)
+    positives = sample(rows.join(trusted, "doc_id", "left_semi"), max_positives)
     unlabelled = sample(rows, max_unlabelled)
     if not len(positives["n_words"]) or not len(unlabelled["n_words"]):
         return Model((), (), 0.0, 0.5)

@@ -7,8 +7,8 @@ pruning by dropping its last thresholds while that raises its precision. A rule
 that doesn't reach the wanted precision ends the list. The list is emitted as
 Spark conditional expressions, first match first.
 
-Rules are learnt from at most ``max_rows`` labelled documents (those of the
-smallest hash of id, so that the sample doesn't depend on partitions); the
+Rules are learnt from at most ``max_rows`` labelled documents (chosen by the
+hash of their ids, so that the sample doesn't depend on partitions); the
 statistics and verdicts cover every document. Null and empty texts have no
 words and fail the base rule.
 """
@@ -147,8 +147,9 @@ def base_failed() -> Column:
 def fit(measured: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **options) -> list[Rule]:
     """Rules from documents with a quality label; labels of null and unknown documents don't count."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("_quality")).dropna().groupBy("doc_id").agg(F.min("_quality").alias("_quality"))
-    rows = with_ratios(measured.join(known, "doc_id").where(~base_failed()))
-    rows = rows.select("_quality", *RATIOS).orderBy(F.xxhash64("doc_id"), *RATIOS).limit(max_rows).toPandas()
+    known = _io.sampled(known, max_rows)
+    rows = with_ratios(measured.join(known, "doc_id").where(~base_failed())).select("_quality", *RATIOS).limit(max_rows).toPandas()
+    rows = rows.sort_values(["_quality", *RATIOS], kind="stable")  # rows come in any order
     return learn({k: rows[k].to_numpy() for k in RATIOS}, (rows["_quality"] == 0).to_numpy(), **options)
 
 
@@ -163,9 +164,9 @@ def good_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
 
     Only the sample's documents, max_rows ids at most, are measured for learning.
     """
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").dropna().select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    ids = _io.checkpoint(_io.sampled(labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").dropna().select("doc_id").distinct(), max_rows))
     known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
-    rules = fit(stats.measured(known), labels, max_rows)
+    rules = fit(stats.measured(known), labels.join(F.broadcast(ids.withColumnRenamed("doc_id", "_id")), F.col("doc_id").cast("long") == F.col("_id")).drop("_id"), max_rows)
     judged_rows = with_ratios(stats.attached(docs, text))
     return _io.unpacked(judged_rows.where(~base_failed() & verdict(rules).isNull()))
 
