@@ -1,0 +1,166 @@
+"""Pairs of documents by the exact similarity of their sets of shingles.
+
+The similarity of two texts is that of the sets of their distinct shingles
+(runs of ``width`` words, a shorter text being one): common ones over all.
+Equal sets are one class. Sets are put in one order for all documents, shingles
+that are frequent in a sample last; two sets of a similarity of t then share a
+shingle among the first  n - ceil(t n) + 1  of each, so only these are sent on,
+and documents meet at each of theirs. Sizes and places rule out most of what
+meets by chance; what remains is compared on its whole texts. No pair is lost,
+and none is linked that is less similar. The sample decides the work only.
+
+Shingles are compared by 64-bit hashes. Texts without words are one class.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quern.llm import _io, _text
+
+#: Documents of the sample by which frequent shingles are known, how many of them hold one, and shingles at most.
+SAMPLE, FREQUENT, MOST = 20_000, 3, 1 << 18
+#: Pairs of a group that are built at once.
+PAIRS = 1 << 20
+
+
+def sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """Ascending hashes of the distinct shingles of each text."""
+    for lo, hi, data, offsets in _text.blocks(column):
+        data = _text.LOWER[data]
+        starts, ends, ranges = _text.words(data, offsets, ~_text.ASCII_SPACE)
+        hashed = _text.hashes(data, starts, ends)
+        every = _text.shingles(hashed, width)
+        for a, b in zip(ranges[: hi - lo], ranges[1:], strict=True):
+            yield np.unique(every[a : b - width + 1]) if b - a >= width else _text.shingles(hashed[a:b], max(1, b - a))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / max(1, len(a) + len(b) - common)
+
+
+def frequent(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles of several documents of a sample (columns doc_id, text), rarest first."""
+
+    def one(batch: pa.RecordBatch) -> dict:
+        return {"s": np.concatenate([np.zeros(0, np.uint64), *sets(batch.column("text"), width)]).view(np.int64)}
+
+    found = _io.arrow(_io.sampled(docs, SAMPLE), one, "s long").groupBy("s").count().where(F.col("count") >= FREQUENT)
+    rows = found.orderBy(F.col("count").desc(), "s").limit(MOST).select("s").toArrow()
+    return rows.column("s").to_numpy().view(np.uint64)[::-1].copy()
+
+
+def prefixes(docs: DataFrame, width: int, least: float, late: np.ndarray) -> DataFrame:
+    """doc_id, the class of the set (n, h1, h2) and its first shingles."""
+    places = np.argsort(late)
+    known = late[places]
+
+    def first(s: np.ndarray) -> np.ndarray:
+        if len(s) and len(known):
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            s = s[np.argsort(np.where(known[at] == s, places[at] + 1, 0), kind="stable")]
+        return s[: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1]
+
+    def one(batch: pa.RecordBatch) -> dict:
+        rows = [(len(s), s.sum(dtype=np.uint64), _text.mix(s + np.uint64(1)).sum(dtype=np.uint64), first(s)) for s in sets(batch.column("text"), width)]
+        n, h1, h2, heads = zip(*rows, strict=True) if rows else ((),) * 4
+        ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
+        values = np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)
+        signed = lambda h: np.array(h, np.uint64).view(np.int64)
+        return {"doc_id": batch.column("doc_id"), "n": np.array(n, np.int64), "h1": signed(h1), "h2": signed(h2), "first": pa.ListArray.from_arrays(ends, values)}
+
+    return _io.arrow(docs, one, "doc_id long, n long, h1 long, h2 long, first array<long>")
+
+
+def meetings(n: np.ndarray, place: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one shingle, by ascending n, whose sizes and places let them be similar enough."""
+    ends = np.searchsorted(n, n / least + 1e-9, "right")
+    many = np.maximum(ends - np.arange(len(n)) - 1, 0)
+    total = np.cumsum(many)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, "right")))
+        i = np.repeat(np.arange(lo, hi), many[lo:hi])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many[lo:hi]) - many[lo:hi], many[lo:hi])
+        most = np.minimum(n[i] - place[i], n[j] - place[j])  # shingles in common, if this is the first
+        ok = most * (1 + least) >= least * (n[i] + n[j]) - 1e-9
+        yield i[ok], j[ok]
+        lo = hi
+
+
+def candidates(classes: DataFrame, least: float) -> DataFrame:
+    """a, b of the classes (id, n, first) that may be similar enough."""
+
+    def meet(batches):
+        def pairs(part: pa.Table):
+            token, ids, n, place = (part.column(c).to_numpy() for c in ("token", "id", "n", "place"))
+            edges = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
+            large = np.flatnonzero(np.diff(edges) > 1)
+            found, held = [], 0
+            for lo, hi in zip(edges[large], edges[large + 1], strict=True):
+                for i, j in meetings(n[lo:hi], place[lo:hi], least):
+                    a, b = ids[lo:hi][i], ids[lo:hi][j]
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+                    held += len(i)
+                    if held > PAIRS:
+                        yield unique(found)
+                        found, held = [], 0
+            if held:
+                yield unique(found)
+
+        def unique(found):
+            both = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_pydict({"a": both[:, 0], "b": both[:, 1]})
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # the last shingle of a batch may go on in the next
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            ends = batch.column("token")[-1].as_py()
+            if held[0].column("token")[0].as_py() == ends:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks()
+            cut = int(np.flatnonzero(whole.column("token").to_numpy() != ends)[-1]) + 1
+            yield from pairs(whole.slice(0, cut).combine_chunks())
+            held = whole.slice(cut).to_batches()
+        if held:
+            yield from pairs(pa.Table.from_batches(held).combine_chunks())
+
+    laid = classes.select("id", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("place", "token"))
+    return laid.repartition("token").sortWithinPartitions("token", "n").mapInArrow(meet, "a long, b long").where("a <> b").distinct()
+
+
+def links(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """a, b: links whose components are those of the pairs whose texts (doc_id, text) are as similar as least."""
+
+    def one(batches):
+        root: dict[int, int] = {}  # a task sends on a spanning forest of its links
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        for batch in batches:
+            out = []
+            both = zip(sets(batch.column("text_a"), width), sets(batch.column("text_b"), width), strict=True)
+            for a, b, (x, y) in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), both, strict=True):
+                if similarity(x, y) >= least - 1e-9 and (left := find(a)) != (right := find(b)):
+                    root[max(left, right)] = min(left, right)
+                    out.append((a, b))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.join(needed, "doc_id", "left_semi")
+    both = pairs
+    for end in "ab":
+        both = both.join(texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}")), end)
+    _io.small_batches(docs.sparkSession)
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(one, "a long, b long")

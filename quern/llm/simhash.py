@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import _io
+from quern.llm import _io, setjoin
 from quern.llm._text import mix
 from quern.llm.components import components
 
@@ -245,14 +245,26 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, words: int
     return prints.join(named, names, "left").select("doc_id", *dict.fromkeys([*names, "n_shingles"]), "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 5, radius: int = 26, words: int = 2, size_ratio: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without those that have a near copy of smaller id; of equal rows one stays.
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and component_id (smallest linked doc_id, itself included) by links of at least a similarity of sets of shingles."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    names = ["n", "h1", "h2"]
+    sets = _io.checkpoint(setjoin.prefixes(docs, width, similarity, setjoin.frequent(docs, width)))
+    classes = sets.groupBy(*names).agg(F.min("doc_id").alias("id"), F.first("first").alias("first")).where("id is not null")
+    pairs = _io.checkpoint(setjoin.candidates(classes, similarity))
+    found = components(setjoin.links(docs, pairs, width, similarity))
+    classes = sets.groupBy(*names).agg(F.min("doc_id").alias("id")).where("id is not null")
+    named = classes.join(found, "id", "left").select(*names, F.coalesce("component", "id").alias("component_id"))
+    return sets.drop("first").join(named, names, "left").select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without those that a chain of near copies links to one of smaller id; of equal rows one stays.
 
-    The defaults are for a similarity of 0.8 of sets of five-word shingles: with
-    128 bits such texts lie 19.5 bits apart in the mean and rarely over 26, and
-    unrelated ones 64. Rows without an id stay.
+    Near copies are texts of at least that similarity of their sets of
+    five-word shingles, compared exactly (see setjoin). Rows without an id stay.
     """
-    found = _io.checkpoint(near_duplicates(docs, width, radius, words, size_ratio, doc_id, text).select("doc_id", "component_id"))
+    found = _io.checkpoint(similar(docs, width, similarity, doc_id, text))
     out = docs.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti")
     again = _io.checkpoint(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(doc_id)))
     if not again.isEmpty():

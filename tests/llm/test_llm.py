@@ -244,6 +244,35 @@ def test_decontamination(spark, sf):
     assert none.where("size(items) > 0").count() == 0 and none.count() == len(rows)
 
 
+def brute_sets(rows, width=5):
+    out = []
+    for t in rows:
+        w = t.encode().lower().split()
+        out.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    return out
+
+
+def test_near_copies_link_at_a_similarity_of_their_shingles(spark):
+    r = random.Random(8)
+    rows = []
+    for _ in range(60):  # variants around the threshold, far and near
+        base = [f"w{r.randrange(9000)}" for _ in range(r.choice([3, 8, 30, 120, 400]))]
+        rows.append(" ".join(base))
+        for _ in range(3):
+            words = list(base)
+            for _ in range(r.randint(0, max(1, len(words) // 25))):
+                words[r.randrange(len(words))] = f"x{r.randrange(9000)}"
+            rows.append(" ".join(words))
+    rows += ["", " ", "a b c d e f g " * 30, "A b c d e f g " * 40]
+    found = brute_sets(rows)
+    same = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if same(found[i], found[j])]
+    between = [1 for i in range(len(rows)) for j in range(i) if 10 * len(found[i] & found[j]) > 5 * len(found[i] | found[j]) and not same(found[i], found[j])]
+    assert len(near) > 30 and len(between) > 30
+    out = simhash.similar(frame(spark, rows))
+    assert by_id(out, "component_id") == union(near, range(len(rows)))
+
+
 # --- personal data, secrets, licences -----------------------------------------------
 
 
