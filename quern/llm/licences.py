@@ -1,8 +1,9 @@
 """Licence scans in DataFrame functions only.
 
-Every line and sentence of a whole text that names a licence is a candidate,
-and so is a short whole text (a licence file). Candidates and templates are
-sparse TF-IDF vectors: term counts times  ln((1 + N) / (1 + df)) + 1  with df
+Every line and sentence of a whole text that names a licence is a candidate for
+notices and SPDX identifiers; its blocks, the comment at its top and the whole
+text, of any length, are candidates for standard headers and licence texts, each
+kind with weights of its own. Candidates and templates are sparse TF-IDF vectors: term counts times  ln((1 + N) / (1 + df)) + 1  with df
 counted over the N templates, words outside them weighing as with df 0. A file
 has the licence of the template of the highest cosine of any candidate, if that
 is at least a threshold; among equals the first by name.
@@ -26,6 +27,7 @@ import math
 import re
 from collections import Counter
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +36,6 @@ from quern.llm import _io
 
 THRESHOLD = 0.6
 MAX_TEMPLATES = 200
-#: Words up to which a whole text is a candidate of its own.
-FILE_WORDS = 400
 
 # Notices by which licences are declared.
 TEMPLATES = {
@@ -56,41 +56,96 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain, the Unlicense.",
 }
 
+_FOLDER = Path(__file__).parent / "licence_texts"
+_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with this program. If not, see https://www.gnu.org/licenses/."
+
+# Identifiers, the standard headers, and the texts of licences (in licence_texts where they are long).
+IDENTIFIERS = {n: [f"SPDX-License-Identifier: {n}"] + [f"SPDX-License-Identifier: {n}-{x}" for x in ("only", "or-later") if "GPL" in n] for n in TEMPLATES}
+HEADERS = {
+    "AGPL-3.0": _GNU.format("Affero General Public License", 3),
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "GPL-2.0": _GNU.format("General Public License", 2),
+    "GPL-3.0": _GNU.format("General Public License", 3),
+    "LGPL-3.0": _GNU.format("Lesser General Public License", 3),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+}
+# a header's paragraphs may be apart: the one that names the licence is a template too
+HEADERS = {n: [t] + ([t.split(" This program is distributed")[0]] if "This program" in t else [t.split(" Unless required")[0]] if "Unless" in t else []) for n, t in HEADERS.items()}
+TEXTS = {f.stem: [f.read_text()] for f in sorted(_FOLDER.glob("*.txt"))} | {
+    "BSD-2-Clause": [_BSD + _AS_IS],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."],
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org"],
+}
+TEXTS["BSD-3-Clause"].append(_BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _AS_IS)
+# the Affero text differs by its name and one section
+TEXTS["AGPL-3.0"] = [re.sub("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE", re.sub("GNU General Public License", "GNU Affero General Public License", TEXTS["GPL-3.0"][0]))]
+
 #: What a candidate names, lower-cased.
 TRIGGERS = ("license", "licence", "copyright", "spdx", "public domain", "creative commons")
 #: Where a text is cut into lines and sentences.
 CUT = r"\n|(?<=[.!?;])\s+"
+#: Where it is cut into blocks, and lines that a header at its top is made of.
+BLOCK = r"\n[ \t\r]*\n|\*/"
+COMMENT = r"^\s*(#|//|/?\*|--|;|%|<!--|$)"
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 LICENCE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying)([.-][^/]*)?$"
 
 
-def _weights(templates: dict[str, str]) -> tuple[list[str], dict[str, list[float]], float, dict[str, float]]:
+Templates = list[tuple[str, str]]
+
+
+def entries(templates: dict[str, str | list[str]]) -> Templates:
+    """(name, text) of every template by name."""
+    return [(n, t) for n in sorted(templates) for t in ([templates[n]] if isinstance(templates[n], str) else templates[n])]
+
+
+def _weights(templates: Templates) -> tuple[list[str], dict[str, list[float]], float, dict[str, float]]:
     """(names, unit weights of the templates by word, weight of other words, weight of words)."""
-    names = sorted(templates)
-    counts = [Counter(re.findall(WORD, templates[n].lower())) for n in names]
+    names = [n for n, _ in templates]
+    counts = [Counter(re.findall(WORD, t.lower())) for _, t in templates]
     df = Counter(w for c in counts for w in c)
     idf = {w: math.log((1 + len(names)) / (1 + n)) + 1 for w, n in df.items()}
     norms = [math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items())) or 1.0 for c in counts]
     return names, {w: [c[w] * idf[w] / n for c, n in zip(counts, norms, strict=True)] for w in sorted(idf)}, math.log(1 + len(names)) + 1, idf
 
 
-def cosines(words: Column, templates: dict[str, str]) -> Column:
-    """Cosine of an array of words with each template, in the order of their names."""
+def cosines(words: Column, templates: Templates) -> Column:
+    """Cosine of an array of words with each template, in their order; words are counted by sorting, so whole texts cost little more than their reading."""
     names, weights, other, idf = _weights(templates)
     vocabulary = F.split(F.lit(" ".join(weights)), " ")
     idfs = F.split(F.lit(" ".join(repr(idf[w]) for w in weights)), " ").cast("array<double>")
-    table = F.transform(F.split(F.lit("|".join(" ".join(map(repr, v)) for v in weights.values())), r"\|"), lambda row: F.split(row, " ").cast("array<double>"))
+    table = F.split(F.lit(" ".join(repr(x) for v in weights.values() for x in v)), " ").cast("array<double>")  # folded to one literal
     zeros = F.array_repeat(F.lit(0.0), len(names))
     start = F.struct(zeros.alias("dots"), F.lit(0.0).alias("norm"))
 
-    def step(acc: Column, term: Column) -> Column:
-        place = F.array_position(vocabulary, term).cast("int")
-        count = F.size(F.filter(words, lambda w: w == term)).cast("double")
-        weight = count * F.when(place > 0, F.try_element_at(idfs, F.greatest(place, F.lit(1)))).otherwise(other)
-        dots = F.when(place > 0, F.zip_with(acc["dots"], F.try_element_at(table, F.greatest(place, F.lit(1))), lambda a, b: a + weight * b)).otherwise(acc["dots"])
+    def let(value: Column, body) -> Column:
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def step(acc: Column, run: Column) -> Column:
+        place = run["place"]
+        weight = run["count"] * F.when(place > 0, F.try_element_at(idfs, F.greatest(place, F.lit(1)))).otherwise(other)
+        dots = F.when(place > 0, F.zip_with(acc["dots"], F.slice(table, (F.greatest(place, F.lit(1)) - 1) * len(names) + 1, len(names)), lambda a, b: a + weight * b)).otherwise(acc["dots"])
         return F.struct(dots.alias("dots"), (acc["norm"] + weight * weight).alias("norm"))
 
-    return F.aggregate(F.array_distinct(words), start, step, lambda acc: F.transform(acc["dots"], lambda d: d / F.sqrt(F.greatest(acc["norm"], F.lit(1e-12)))))
+    def runs(ordered: Column, ends: Column) -> Column:
+        """place in the vocabulary and count of each distinct word; ends: its last place in order."""
+        return F.transform(ends, lambda end, i: F.struct(F.array_position(vocabulary, F.element_at(ordered, end)).cast("int").alias("place"), (end - F.when(i > 0, F.element_at(ends, F.greatest(i, F.lit(1)))).otherwise(0)).cast("double").alias("count")))
+
+    def scored(ordered: Column) -> Column:
+        n = F.size(ordered)
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == n) | (F.element_at(ordered, i) != F.element_at(ordered, F.least(i + 1, n)))))
+        return let(ends, lambda e: F.aggregate(runs(ordered, e), start, step, lambda acc: F.transform(acc["dots"], lambda d: d / F.sqrt(F.greatest(acc["norm"], F.lit(1e-12))))))
+
+    return let(F.array_sort(words), scored)
+
+
+def best_cosines(candidates: Column, templates: Templates) -> Column:
+    """The highest cosine of any candidate with each template, 0 without candidates."""
+    words = lambda s: F.regexp_extract_all(F.lower(s), F.lit(WORD), F.lit(0))
+    return F.aggregate(candidates, F.array_repeat(F.lit(0.0), len(templates)), lambda best, s: F.zip_with(best, cosines(words(s), templates), lambda a, b: F.greatest(a, b)))
 
 
 def named(text: Column) -> Column:
@@ -99,23 +154,37 @@ def named(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in TRIGGERS])
 
 
-def own_licences(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """files with own_licence and own_score (both null without one)."""
-    templates = TEMPLATES if templates is None else templates
-    if not 0 < len(templates) <= MAX_TEMPLATES:
-        raise ValueError(f"1 to {MAX_TEMPLATES} templates, not {len(templates)}")
-    names = F.array(*map(F.lit, sorted(templates)))
+def own_licences(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text: str = "text", stands: str | None = None) -> DataFrame:
+    """files with own_licence and own_score (both null without one), and whether the whole text is one of TEXTS if a column is named for it."""
+    lines, marks, long = (entries(TEMPLATES), entries(IDENTIFIERS), entries(HEADERS) + entries(TEXTS)) if templates is None else (entries(templates), [], [])
+    if not 0 < len(lines) <= MAX_TEMPLATES:
+        raise ValueError(f"1 to {MAX_TEMPLATES} templates, not {len(lines)}")
     whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.when(named(whole), F.filter(F.split(whole, CUT), named)).otherwise(F.array().cast("array<string>"))
-    short = F.size(F.regexp_extract_all(whole, F.lit(r"\S+"), F.lit(0))) <= FILE_WORDS
-    # a long text is never cut into words, only its candidates are
-    candidates = F.when(F.size(lines) > 0, F.array_distinct(F.concat(lines, F.when(short, F.array(whole)).otherwise(F.array().cast("array<string>"))))).otherwise(lines)
-    words = F.transform("_candidates", lambda s: F.regexp_extract_all(F.lower(s), F.lit(WORD), F.lit(0)))
-    scored = F.aggregate("_words", F.array_repeat(F.lit(0.0), len(templates)), lambda best, w: F.zip_with(best, cosines(w, templates), lambda a, b: F.greatest(a, b)))
-    out = files.withColumn("_candidates", candidates).withColumn("_words", words).withColumn("_scores", F.when(F.size("_words") > 0, scored))
+    nothing = F.array().cast("array<string>")
+    rows = F.split(whole, "\n")
+    code = F.array_position(F.transform(rows, lambda x: x.rlike(COMMENT)), False).cast("int")
+    head = F.array_join(F.slice(rows, 1, F.when(code > 0, code - 1).otherwise(F.size(rows))), "\n")
+    blocks = F.filter(F.array_append(F.split(whole, BLOCK), head), named)
+    # texts that name no licence are never cut
+    out = files.withColumn("_named", named(whole))
+    out = out.withColumn("_lines", F.when(F.col("_named"), F.array_distinct(F.array_append(F.filter(F.split(whole, CUT), named), whole))).otherwise(nothing))
+    out = out.withColumn("_blocks", F.when(F.col("_named"), F.array_except(F.array_distinct(blocks), F.array(whole))).otherwise(nothing)).withColumn("_whole", F.when(F.col("_named"), F.array(whole)).otherwise(nothing))
+    parts, names = [], []
+    for kind, family, candidates in (("lines", lines, "_lines"), ("marks", marks, "_lines"), ("blocks", long, "_blocks"), ("whole", long, "_whole")):
+        if family:
+            out = out.withColumn(f"_{kind}_scores", best_cosines(F.col(candidates), family))
+            parts.append(f"_{kind}_scores")
+            names += [n for n, _ in family]
+    out = out.withColumn("_scores", F.when(F.col("_named"), F.concat(*parts)))
     best = F.array_max("_scores")
     out = out.withColumn("own_score", F.when(best >= threshold, F.round(best, 6)))
-    return out.withColumn("own_licence", F.when(F.col("own_score").isNotNull(), F.element_at(names, F.array_position("_scores", best).cast("int")))).drop("_candidates", "_words", "_scores")
+    first = F.array_min(F.filter(F.zip_with("_scores", F.array(*map(F.lit, names)), lambda s, n: F.when(s == best, n)), lambda n: n.isNotNull()))
+    out = out.withColumn("own_licence", F.when(F.col("own_score").isNotNull(), first))
+    if stands:
+        n = len(entries(HEADERS))
+        headers, texts = F.array_max(F.slice("_whole_scores", 1, n)), F.array_max(F.slice("_whole_scores", n + 1, len(entries(TEXTS))))
+        out = out.withColumn(stands, F.coalesce(F.col("_named") & (texts >= threshold) & (texts > headers), F.lit(False)))
+    return out.drop("_named", "_lines", "_blocks", "_whole", "_scores", *parts)
 
 
 def directory(path: Column) -> Column:
@@ -144,10 +213,12 @@ def inherited(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def op1_licences(spark, sf_dir: str) -> DataFrame:
-    """Licences of documents. A document's directory is its source; a short one that is a notice stands as its licence file."""
+    """Licences of documents. A document's directory is its source; a short one that is a notice, or one that is a licence's text, stands as its licence file."""
     docs = _io.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     notice = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z]+", " ")
-    name = F.when((F.length("text") <= 120) & notice.rlike(r"^ ?(this work is )?(licensed|released) under "), F.lit("LICENSE")).otherwise(F.col("doc_id").cast("string"))
-    files = own_licences(docs.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("")), name))).drop("text")
+    stands = F.col("_stands") | ((F.length("text") <= 120) & notice.rlike(r"^ ?(this work is )?(licensed|released) under "))
+    name = F.when(stands, F.lit("LICENSE")).otherwise(F.col("doc_id").cast("string"))
+    files = own_licences(docs, stands="_stands")
+    files = files.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("")), name)).drop("text", "_stands")
     files = _io.checkpoint(files)  # without texts; directories are then found without reading these again
     return inherited(files).select("doc_id", "own_licence", "own_score", "inherited_licence", "inherited_from", "licence")
