@@ -2,10 +2,11 @@
 
 Three fixed patterns give the base findings (see ``KINDS``); spans are code
 points, end exclusive, leftmost without overlaps within a kind. The method adds
-runs of 20 and more characters of a secret's alphabet, with a digit and a
-letter in them, that overlap no base finding and that a character Markov model
+runs of 20 and more characters of a secret's alphabet that overlap no base
+finding and have 20 and more characters in a row that a character Markov model
 of random strings explains better than one of ordinary identifiers: their
-log-likelihood ratio a character is above a threshold.
+log-likelihood ratio a character is above a threshold. Words joined to a secret
+so don't hide it.
 
 Both models are bigram models trained from labelled samples (columns text and
 random). The samples of ``samples()`` are drawn by a rule from hashes of row
@@ -116,6 +117,39 @@ def ratio(text: Column, model: list[float]) -> Column:
     return F.aggregate(_chars(text), start, lambda s, c: F.struct((s["sum"] + F.element_at(table, s["last"] * size + c + 1)).alias("sum"), c.alias("last")), lambda s: s["sum"] / F.greatest(F.length(text), F.lit(1)))
 
 
+def best(text: Column, model: list[float], threshold: float, least: int = 20) -> Column:
+    """The highest sum over at least so many characters in a row of their log-likelihood ratios less the threshold.
+
+    It is above 0 where a stretch of the text is random by more than the
+    threshold, whatever words are joined to it. Repeated characters and
+    separators in a row are no sign of it.
+    """
+    size = len(ALPHABET) + 1
+    table = [x - threshold for x in model]
+    for c in range(1, size):
+        table[c * size + c] = min(table[c * size + c], -threshold)
+    marks = [ALPHABET.index(c) + 1 for c in "+/_=-"]
+    for a in marks:
+        for b in marks:
+            table[a * size + b] = -5.0
+    scores = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")
+    codes = F.concat(F.array(F.lit(0)), _chars(text))
+
+    def walk(c: Column) -> Column:
+        at = lambda i: F.element_at(scores, F.element_at(c, F.greatest(i, F.lit(1))) * size + F.element_at(c, F.greatest(i, F.lit(1)) + 1) + 1)
+
+        def step(acc: Column, i: Column) -> Column:
+            score = at(i)
+            last = acc["last"] + score - F.when(i > least, at(i - least)).otherwise(0.0)  # of the last characters
+            end = F.when(i < least, F.lit(-1e9)).otherwise(F.greatest(acc["end"] + score, last))
+            return F.struct(last.alias("last"), end.alias("end"), F.greatest(acc["most"], end).alias("most"))
+
+        start = F.struct(F.lit(0.0).alias("last"), F.lit(-1e9).alias("end"), F.lit(-1e9).alias("most"))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), start, step, lambda acc: acc["most"])
+
+    return F.when(F.length(text) >= least, F.element_at(F.transform(F.array(codes), walk), 1)).otherwise(-1e9)
+
+
 def spans(text: str, pattern: str, kind: int, keep) -> Column:
     """start, kind, end of the leftmost non-overlapping matches of pattern that keep holds for.
 
@@ -145,7 +179,7 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, text
     """docs with columns base and found: arrays of (start, kind, end), of the patterns and with the model's findings."""
     source = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6
-    random = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (ratio(m, model) > threshold)
+    random = lambda m: best(m, model, threshold) > 0
     every = lambda m: F.lit(True)
     # each scan is a stage of its own, so that its matches are found once
     for i, (pattern, keep) in enumerate(((ASSIGN, value), (ACCESS, every), (HEX, every), (CANDIDATE, random))):

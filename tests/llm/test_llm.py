@@ -335,6 +335,29 @@ def test_secret_models_tell_held_out_samples_apart(spark):
     assert right > 0.97
 
 
+def test_secrets_joined_to_words_are_found(spark):
+    r = random.Random(4)
+    code = lambda n, letters="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(r.choice(letters) for _ in range(n))
+    word = lambda: r.choice(secrets.WORDS)
+    kinds = {
+        "stripe": lambda: f"STRIPE_LIVE_KEY=sk_live_{code(24)}",
+        "credential": lambda: f"DATABASE_CREDENTIAL={code(24)}",
+        "production": lambda: f"DATABASE_CONNECTION_PASSWORD_PRODUCTION={code(24)}",
+        "path": lambda: f"{word()}/{word()}/{word()}/{word()}/{code(24)}",
+        "tail": lambda: f"{word()}_{word()}_{word()}_{code(20)}",
+        "letters": lambda: code(40, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "words": lambda: r.choice("_-/").join(word() for _ in range(8)),
+        "path of words": lambda: f"{word()}/{word()}-{word()}/2024/{word()}_{word()}/{word()}{word()}",
+        "rules": lambda: r.choice(["-" * 60, "=-" * 30, "x" * 50, "Y" * 30, "Title" + "_" * 40]),
+    }
+    rows = [(k, f()) for k, f in kinds.items() for _ in range(200)]
+    out = secrets.scan(frame(spark, [t for _, t in rows]), secrets.train(secrets.samples(spark))).select("doc_id", (F.size("found") > 0).alias("hit"))
+    hits = collections.Counter(rows[i][0] for i, hit in by_id(out, "hit").items() if hit)
+    share = {k: hits[k] / 200 for k in kinds}
+    assert all(share[k] >= 0.9 for k in list(kinds)[:6]), str(share)
+    assert all(share[k] <= 0.03 for k in list(kinds)[6:]), str(share)
+
+
 def test_licences(spark):
     rows = [
         ("a/LICENSE", "MIT License\n\nReleased under the MIT License."),
