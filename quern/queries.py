@@ -183,7 +183,16 @@ def semi_exists(t):
 
 @query("SELECT e.event_id, e.user_id, (SELECT max_by(p.value, (p.ts, p.event_id)) FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.ts <= e.ts) AS last_purchase FROM events e WHERE e.event_type = 'view' AND e.user_id < 20")
 def as_of_join(t):
-    views = t.events.where("event_type = 'view' and user_id < 20").select("event_id", "user_id", "ts")
+    return _last_purchases(t, "user_id < 20")
+
+
+@query("WITH p AS (SELECT user_id, ts, max_by(value, event_id) AS last_purchase FROM events WHERE event_type = 'purchase' GROUP BY ALL) SELECT e.event_id, e.user_id, p.last_purchase FROM (FROM events WHERE event_type = 'view') e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.ts")
+def as_of_join_all(t):
+    return _last_purchases(t, "true")
+
+
+def _last_purchases(t, where: str) -> DataFrame:
+    views = t.events.where("event_type = 'view'").where(where).select("event_id", "user_id", "ts")
     bought = t.events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("pid"), F.col("value").alias("last_purchase"))
     return joins.as_of_join(views, bought, "user_id", "ts", "at", ["pid", "last_purchase"]).select("event_id", "user_id", "last_purchase")
 
