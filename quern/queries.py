@@ -472,11 +472,22 @@ def topology_pairs(t):
 
 @query("WITH l AS (SELECT o_orderkey AS id, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt FROM orders) SELECT a.id AS start, b.id AS id, 1 AS hop FROM l a JOIN l b ON a.nxt = b.id WHERE a.id <= 500 UNION ALL SELECT a.id, c.id, 2 FROM l a JOIN l b ON a.nxt = b.id JOIN l c ON b.nxt = c.id WHERE a.id <= 500 UNION ALL SELECT id, id, 0 FROM l WHERE id <= 500")
 def lineage_chain(t):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    links = t.orders.select(F.col("o_orderkey").alias("id"), F.lead("o_orderkey").over(w).alias("next"))
+    links = _next_orders(t)
     return graph.chain(links, links.where("id <= 500").select("id"), 2)
 
 
+@query("WITH l AS (SELECT o_orderkey AS id, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) SELECT a.id AS start, b.id, b.k - a.k AS hop FROM l a JOIN l b ON a.c = b.c AND b.k >= a.k")
+def lineage_chain_all(t):
+    links = _next_orders(t)
+    most = t.orders.groupBy("o_custkey").count().agg(F.max("count")).first()[0] or 0  # hops of the longest chain, and one
+    return graph.chain(links, links.select("id"), most)
+
+
+def _next_orders(t) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return t.orders.select(F.col("o_orderkey").alias("id"), F.lead("o_orderkey").over(w).alias("next"))
+
+
 @query(f"WITH RECURSIVE e AS ({_EDGES_SQL}), w(id, depth) AS (SELECT 'r1', 0 UNION SELECT e.src, depth + 1 FROM w JOIN e ON e.dst = w.id WHERE e.relation IN ('in_region', 'in_nation')) SELECT id, min(depth) AS depth FROM w WHERE id LIKE 'c%' GROUP BY 1")
 def scope_resolve(t):
     return graph.resolve_scope(_edges(t), _nodes(t), _ids(t, "r1"), ["in_region", "in_nation"], "down", ["customer"])
