@@ -52,11 +52,13 @@ def group_by(df: DataFrame, key: str, kind: str, field: str | None = None, where
     value = measure(kind, field)
     value = F.coalesce(value.cast("double"), F.lit(0.0))
     out = rows.groupBy(F.col(key).alias("key")).agg(value.alias("value"), F.count(F.lit(1)).alias("count"))
-    return out.orderBy(F.col("key").asc_nulls_first()).limit(group_limit(limit)[0])
+    out = out.orderBy(F.col("key").asc_nulls_first())
+    return out if limit is None else out.limit(max(0, int(limit)))
 
 
 def distinct_values(df: DataFrame, field: str, where: Mapping | None = None, limit: int | None = None) -> DataFrame:
-    return df.where(compile_filter(where)).select(F.col(field).alias("value")).distinct().orderBy(F.col("value").asc_nulls_first()).limit(group_limit(limit)[0])
+    out = df.where(compile_filter(where)).select(F.col(field).alias("value")).distinct().orderBy(F.col("value").asc_nulls_first())
+    return out if limit is None else out.limit(max(0, int(limit)))
 
 
 def bucket(time: Column, unit: str) -> Column:

@@ -120,6 +120,12 @@ def test_visible_count(spark):
     assert aggregates.group_limit(None) == (10_000, True) and aggregates.group_limit(5) == (5, False)
 
 
+def test_groups_are_all_kept_without_a_limit(spark):
+    df = spark.range(10_050).select(F.col("id").alias("k"))
+    assert aggregates.group_by(df, "k", "count").count() == aggregates.distinct_values(df, "k").count() == 10_050
+    assert aggregates.group_by(df, "k", "count", limit=10_020).count() == 10_020 and aggregates.distinct_values(df, "k", limit=3).count() == 3
+
+
 @pytest.fixture(scope="module")
 def net(spark):
     nodes = spark.createDataFrame([("a", "t1", "p"), ("b", "t1", "p"), ("c", "t2", "q"), ("d", "note", "q")], "id string, type string, project string").withColumns({"label": F.col("id"), "status": F.lit("active"), "stale": F.lit(False), "tags": F.array(F.lit("x"))})
