@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.checkpoints import checkpoint
 from quern.operators.filters import compile_filter
 
 DEFAULT_LIMIT = 10_000
@@ -53,7 +54,13 @@ def top_k_by(df: DataFrame, key: str | Sequence[str], k: int, *order: Column) ->
 def token_budget(df: DataFrame, text: str, budget: int, *order: Column) -> DataFrame:
     """The leading rows whose estimated tokens (a quarter of the characters, rounded up) fit a budget.
 
-    For short ranked lists: the running sum is over one partition.
+    The running sum is of each partition of the sorted rows, on top of the sums
+    of those before it: no partition holds them all.
     """
-    cost = F.ceil(F.length(text) / 4)
-    return df.withColumn("tokens", cost).withColumn("tokens_so_far", F.sum("tokens").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("tokens_so_far") <= budget)
+    ranked = df.withColumn("tokens", F.ceil(F.length(text) / 4)).orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    ranked = checkpoint(ranked)  # sorted once: parts and rows stay as they are
+    before = ranked.groupBy("_part").agg(F.sum("tokens").alias("_sum"))
+    before = before.select("_part", F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    so_far = F.sum("tokens").over(Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
+    out = ranked.withColumn("_own", so_far).join(before, "_part").withColumn("tokens_so_far", F.col("_own") + F.coalesce("_before", F.lit(0)))
+    return out.where(F.col("tokens_so_far") <= budget).drop("_part", "_row", "_own", "_before")

@@ -609,7 +609,7 @@ def edit_distance(t):
 
 @query("WITH w AS (SELECT doc_id, text, length(text) AS n FROM documents), c AS (SELECT doc_id, CAST(ceil(n / 4.0) AS BIGINT) AS tokens, sum(CAST(ceil(n / 4.0) AS BIGINT)) OVER (ORDER BY doc_id) AS s FROM w) SELECT doc_id, tokens FROM c WHERE s <= 5000")
 def token_budget(t):
-    return paging.token_budget(t.documents.orderBy("doc_id").limit(200).select("doc_id", "text"), "text", 5000, F.col("doc_id")).select("doc_id", "tokens")
+    return paging.token_budget(t.documents.select("doc_id", "text"), "text", 5000, F.col("doc_id")).select("doc_id", "tokens")
 
 
 @query("WITH r AS (SELECT o_custkey AS query, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, o_orderstatus FROM orders), g AS (SELECT query, id, CASE WHEN rank <= 5 THEN rank END AS rank FROM r WHERE o_orderstatus = 'F'), o AS (SELECT query, count(*) AS n, count(rank) AS h, min(rank) AS r, sum(CASE WHEN rank IS NULL THEN 0 ELSE 1 / log2(rank + 1) END) AS d FROM g GROUP BY 1), i AS (SELECT n, sum(1 / log2(k + 1)) AS ideal FROM (SELECT DISTINCT n FROM o), range(1, 6) t(k) WHERE k <= n GROUP BY 1) SELECT count(*) AS queries, round(avg(CAST(h > 0 AS INT)), 6) AS hit, round(avg(h / n), 6) AS recall, round(avg(h / 5), 6) AS precision, round(avg(coalesce(1 / r, 0)), 6) AS mrr, round(avg(d / ideal), 6) AS ndcg FROM o JOIN i USING (n)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import scalar as S
 from quern.operators import aggregates, filters, graph, joins, lifecycle, linking, recall, search, tables, temporal
 from quern.plans.execute import execute, unreviewed
+from quern.queries import QUERIES
 from quern.sources import readers
 from quern.streaming import jobs
 from quern.types import ColumnSpec, TableSchema
@@ -126,6 +127,13 @@ def test_groups_are_all_kept_without_a_limit(spark):
     assert aggregates.group_by(df, "k", "count", limit=10_020).count() == 10_020 and aggregates.distinct_values(df, "k", limit=3).count() == 3
 
 
+def test_token_budget_covers_many_short_rows(spark, sf, tmp_path):
+    texts = spark.range(900).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text")).repartition(7)
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["token_budget"](spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(900)) and all(r["tokens"] == 1 for r in got)
+
+
 @pytest.fixture(scope="module")
 def net(spark):
     nodes = spark.createDataFrame([("a", "t1", "p"), ("b", "t1", "p"), ("c", "t2", "q"), ("d", "note", "q")], "id string, type string, project string").withColumns({"label": F.col("id"), "status": F.lit("active"), "stale": F.lit(False), "tags": F.array(F.lit("x"))})
