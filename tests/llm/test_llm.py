@@ -273,6 +273,14 @@ def test_near_copies_link_at_a_similarity_of_their_shingles(spark):
     assert by_id(out, "component_id") == union(near, range(len(rows)))
 
 
+def test_near_copies_may_repeat_a_passage(spark):
+    r = random.Random(9)
+    x, p = (" ".join(f"w{r.randrange(9000)}" for _ in range(n)) for n in (600, 250))
+    docs = frame(spark, [f"{x} {p}", f"{x} {p} {p}", x])
+    assert by_id(simhash.similar(docs), "component_id") == {0: 0, 1: 0, 2: 2}
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == [0, 2]
+
+
 # --- personal data, secrets, licences -----------------------------------------------
 
 
