@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +68,62 @@ def arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | d
     return df.mapInArrow(run, schema)
 
 
+def runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of runs of rows of equal keys."""
+    change = np.zeros(max(len(keys[0]) - 1, 0), bool)
+    for k in keys:
+        change |= k[1:] != k[:-1]
+    edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(keys[0])]
+    return list(zip(edges[:-1], edges[1:], strict=True)) if len(keys[0]) else []
+
+
+def whole(batches: Iterator[pa.RecordBatch], keys: Sequence[str], function: Callable[[pa.Table], Iterator], least: int = 1, spill: Callable[[pa.Table], Iterator] | None = None, most: int = 0) -> Iterator:
+    """What function gives of tables of sorted rows in which no run of equal keys is cut, each of so many rows at least where there are more.
+
+    spill: is given a run's rows instead, as soon as there are more than most of them.
+    """
+    held, rows, over = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        ends = tuple(batch.column(k)[-1].as_py() for k in keys)
+        begins = tuple(held[0].column(k)[0].as_py() for k in keys)
+        if begins == ends:
+            if spill and rows > most:
+                yield from spill(pa.Table.from_batches(held).combine_chunks())
+                held, rows, over = [], 0, ends
+            continue
+        if rows < least:
+            continue
+        part = pa.Table.from_batches(held).combine_chunks()
+        first, end = runs(*(part.column(k).to_numpy() for k in keys))[-1]
+        ready, held, rows = part.slice(0, first), part.slice(first).to_batches(), end - first
+        if over is not None:  # the rest of a run of which rows were given to spill
+            first, end = runs(*(ready.column(k).to_numpy() for k in keys))[0]
+            if tuple(ready.column(k)[0].as_py() for k in keys) == over:
+                yield from spill(ready.slice(0, end).combine_chunks())
+                ready = ready.slice(end)
+            over = None
+        if ready.num_rows:
+            yield from function(ready.combine_chunks())
+    if held:
+        part = pa.Table.from_batches(held).combine_chunks()
+        if over is not None and tuple(part.column(k)[0].as_py() for k in keys) == over:
+            first, end = runs(*(part.column(k).to_numpy() for k in keys))[0]
+            yield from spill(part.slice(0, end).combine_chunks())
+            part = part.slice(end)
+        if part.num_rows:
+            yield from function(part.combine_chunks())
+
+
+def release(spark: SparkSession) -> None:
+    """Has Spark drop the shuffle files of what is done, which it else does whenever the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def packed(docs: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """docs (or some columns of theirs) as one struct column _row: no name of theirs can clash with what is added."""
     small_batches(docs.sparkSession)

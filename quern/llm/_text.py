@@ -2,7 +2,7 @@
 
 Texts are never turned into Python strings here: a block is one byte array and
 the offsets of its documents, and words, lines and shingles are arrays of
-positions and 64-bit hashes. Blocks hold whole documents and about
+positions, and of 64-bit hashes or exact numbers. Blocks hold whole documents and about
 ``BLOCK_BYTES`` bytes, so a worker's memory follows the longest document and
 not the batch.
 """
@@ -33,17 +33,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_powers = np.ones(1, np.uint64)
+_LANE_MASK = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+_keys = mix(np.arange(1, 1025, dtype=np.uint64) * _ODD)
 
 
-def _power(n: int) -> np.ndarray:
-    """Powers of an odd constant modulo 2**64, at least n of them."""
-    global _powers
-    if len(_powers) < n:
-        size = max(1024, 1 << (n - 1).bit_length())
-        _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, np.uint64(0xD6E8FEB86659FD93)))]).astype(np.uint64)
-    return _powers
+def _lane_keys(n: int) -> np.ndarray:
+    """At least n constants, one for each place of eight bytes in a range."""
+    global _keys
+    if len(_keys) < n:
+        _keys = mix(np.arange(1, (1 << (n - 1).bit_length()) + 1, dtype=np.uint64) * _ODD)
+    return _keys
+
+
+def _lanes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(eight bytes each, place in the range, first lane of each range) of byte ranges that are not empty; the last is filled up with zeros."""
+    many = (lengths + 7) >> 3
+    first = np.cumsum(many) - many
+    place = np.arange(int(many.sum())) - np.repeat(first, many)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    every = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    rest = np.repeat(lengths, many) - 8 * place
+    return every[np.repeat(starts, many) + 8 * place] & _LANE_MASK[np.minimum(rest, 8)], place, first
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,18 +96,42 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; ranges ascend and don't overlap; an empty one has hash of 0."""
+    """A 64-bit hash of each byte range: the sum of its lanes, each mixed with a constant of its place."""
     lengths = ends - starts
     out = np.zeros(len(starts), np.uint64)
     full = np.flatnonzero(lengths)
     if len(full):
-        n = lengths[full]
-        first = np.concatenate([[0], np.cumsum(n)[:-1]])
-        at = np.arange(int(n.sum())) - np.repeat(first, n)
-        out[full] = np.add.reduceat(_BYTE[data[at + np.repeat(starts[full], n)]] * _power(int(n.max()))[at], first)
+        lanes, place, first = _lanes(data, starts[full], lengths[full])
+        out[full] = np.add.reduceat(mix(lanes ^ _lane_keys(int(place.max()) + 1)[place]), first)
     return mix(out + lengths.astype(np.uint64) * _ODD)
 
 
+def equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray) -> bool:
+    """Are the bytes of range i[k] those of range j[k], for every k?"""
+    lengths = ends - starts
+    if (lengths[i] != lengths[j]).any():
+        return False
+    full = lengths[i] > 0
+    i, j = i[full], j[full]
+    return not len(i) or bool((_lanes(data, starts[i], lengths[i])[0] == _lanes(data, starts[j], lengths[j])[0]).all())
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number of each byte range, the same for equal bytes and for no others: hashes find them, bytes decide."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    hashed = hashes(data, starts, ends)
+    order = np.argsort(hashed, kind="stable")
+    ranked = hashed[order]
+    same = np.flatnonzero(ranked[1:] == ranked[:-1])
+    if not equal(data, starts, ends, order[same], order[same + 1]):
+        raw, known = data.tobytes(), {}
+        return np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    out = np.empty(len(starts), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
+    return out
+
+
 def shingles(word_hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of width consecutive words of the block; runs across documents are the caller's to drop."""
     n = len(word_hashes) - width + 1

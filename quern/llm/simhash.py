@@ -11,13 +11,16 @@ lost. A tile of more rows than ``TILE`` is cut into chunks that meet in tasks
 of their own, and a task sends on a spanning forest of its links and not all of
 them; components are the same.
 
-With ``size_ratio`` only documents link whose numbers of shingles are that
-close (a set similarity of s needs sizes within s of each other); tiles then
-follow sizes. For radii over 4 neighbouring counts cover most of the data, and
-the work is near the square of the documents of similar size.
+The tiles' number is fixed by the counts, so on ever more different
+fingerprints comparisons grow with the square of these, by a small share of it.
 
 Null and empty texts have no shingles and the fingerprint 0, linked like any
-other. Repeated rows are one class.
+other. Repeated rows are one class. Rows without an id get a component of the
+ids linked to them, and null where there is none.
+
+``deduplicate`` links texts by the similarity of their sets of shingles
+instead: fingerprints of 128 bits, compared in the tiles of ``nearsets``,
+propose, and the sets decide.
 """
 
 from __future__ import annotations
@@ -30,18 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import _io, setjoin
+from quern.llm import _io, nearsets
 from quern.llm._text import mix
+from quern.llm._tiles import forest, majority
 from quern.llm.components import components
 
 #: Fingerprints that a chunk of a tile holds, about: some 3 MB and four billion pairs, a quarter of a minute of a
 #: core. A row is sent on once for each chunk that it meets, so smaller chunks cost shuffle and larger ones tasks.
 TILE = 65_536
-#: Side of the blocks that numpy compares.
-BLOCK = 1024
 _BASE = 24
-_SIZE_BASE = _BASE**5
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
 def fingerprint(text: str, width: int = 3, words: int = 1, seed: int = 42) -> tuple[list[int], int]:
@@ -59,12 +59,7 @@ def fingerprint(text: str, width: int = 3, words: int = 1, seed: int = 42) -> tu
         shingles = [joined[a:b] for a, b in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(shingles))
-    out = []
-    for k in range(words):
-        h = hashes if not k else mix(hashes + np.uint64(k))
-        counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256) @ _BITS
-        out.append(int(np.packbits((2 * counts > len(h)).ravel(), bitorder="little").view("<u8")[0]))
-    return out, len(shingles)
+    return majority(hashes, words), len(shingles)
 
 
 def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -82,23 +77,18 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, doc_id: str =
 class Tiles:
     """Where fingerprints meet: keys of tiles, their neighbours, and chunks of the full ones."""
 
-    def __init__(self, radius: int, size_ratio: float | None):
-        self.size_ratio = size_ratio
+    def __init__(self, radius: int):
         self.parts = 4 if radius <= 4 else 0
         near = [d for d in product(range(-radius, radius + 1), repeat=self.parts) if sum(map(abs, d)) <= radius] if self.parts else [()]
-        steps = (-1, 0, 1) if size_ratio else (0,)
-        deltas = {sum(x * _BASE**i for i, x in enumerate(d)) + s * _SIZE_BASE for d in near for s in steps}
+        deltas = {sum(x * _BASE**i for i, x in enumerate(d)) for d in near}
         #: Differences of keys to the neighbours that a tile visits; the others visit it.
         self.ahead = np.array(sorted(d for d in deltas if d > 0), np.int64)
         self.keys = self.chunks = np.zeros(0, np.int64)
 
-    def key(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        key = np.full(len(first), 4 * _SIZE_BASE, np.int64)
+    def key(self, first: np.ndarray) -> np.ndarray:
+        key = np.full(len(first), 4 * _BASE**5, np.int64)
         for i in range(self.parts):
             key += (np.bitwise_count((first >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(np.int64) + 3) * _BASE**i
-        if self.size_ratio:
-            # a small margin, so that rounding parts no sizes at the very ratio
-            key += (np.floor(np.log(np.maximum(size, 1)) / (-np.log(self.size_ratio) + 1e-9)).astype(np.int64) + 1) * _SIZE_BASE
         return key
 
     def chunk(self, keys: np.ndarray) -> np.ndarray:
@@ -145,54 +135,17 @@ class Tiles:
         return np.concatenate(rows), np.concatenate(block).view(np.int64), np.concatenate(home)
 
 
-def forest(home: np.ndarray, prints: np.ndarray, sizes: np.ndarray, radius: int, size_ratio: float | None) -> np.ndarray:
-    """Root of each row among the links of rows at home with rows at home and visitors.
-
-    prints: a row of 64-bit words each. Roots are row numbers.
-    """
-    n = len(prints)
-    root = np.arange(n)
-    pop = np.bitwise_count(prints).sum(1, dtype=np.int64)
-    order = np.argsort(pop, kind="stable")
-    at_home = order[home[order]]
-    for a in range(0, len(at_home), BLOCK):
-        left = at_home[a : a + BLOCK]
-        for b in range(0, n, BLOCK):
-            right = order[b : b + BLOCK]
-            if pop[right[0]] - pop[left[-1]] > radius or pop[left[0]] - pop[right[-1]] > radius:
-                continue
-            distance = np.zeros((len(left), len(right)), np.uint16)
-            for k in range(prints.shape[1]):
-                distance += np.bitwise_count(prints[left, k][:, None] ^ prints[right, k][None, :])
-            i, j = np.nonzero(distance <= radius)
-            i, j = left[i], right[j]
-            ok = root[i] != root[j]
-            if size_ratio:
-                ok &= np.minimum(sizes[i], sizes[j]) >= size_ratio * np.maximum(sizes[i], sizes[j])
-            i, j = i[ok], j[ok]
-            while len(i):
-                low = np.minimum(root[i], root[j])
-                np.minimum.at(root, root[i], low)
-                np.minimum.at(root, root[j], low)
-                while (root[root] != root).any():
-                    root = root[root]
-                ok = root[i] != root[j]
-                i, j = i[ok], j[ok]
-    return root
-
-
-def links(classes: DataFrame, radius: int, size_ratio: float | None = None, words: int = 1) -> DataFrame:
-    """a, b: links whose components are those of all pairs of classes (id, n_shingles, f0, ...) within radius."""
-    tiles = Tiles(radius, size_ratio)
+def links(classes: DataFrame, radius: int, words: int = 1) -> DataFrame:
+    """a, b: links whose components are those of all pairs of classes (id, f0, ...) within radius."""
+    tiles = Tiles(radius)
     names = [f"f{k}" for k in range(words)]
 
     def lay(batch: pa.RecordBatch) -> dict:
-        first, size = batch.column("f0").to_numpy().view(np.uint64), batch.column("n_shingles").to_numpy()
-        return {"id": batch.column("id"), "n_shingles": batch.column("n_shingles"), "key": tiles.key(first, size)} | {n: batch.column(n) for n in names}
+        return {"id": batch.column("id"), "key": tiles.key(batch.column("f0").to_numpy().view(np.uint64))} | {n: batch.column(n) for n in names}
 
     kinds = ", ".join(f"{n} long" for n in names)
-    laid = _io.arrow(classes.select("id", "n_shingles", *names), lay, f"id long, n_shingles long, key long, {kinds}")
-    # tiles are few by construction: at most 17 to the power of the parts, times the classes of size
+    laid = _io.arrow(classes.select("id", *names), lay, f"id long, key long, {kinds}")
+    # tiles are few by construction: at most 17 to the power of the parts
     counts = laid.groupBy("key").count().orderBy("key").collect()
     tiles.keys = np.array([r["key"] for r in counts], np.int64)
     tiles.chunks = np.array([-(-r["count"] // TILE) for r in counts], np.int64)
@@ -202,75 +155,76 @@ def links(classes: DataFrame, radius: int, size_ratio: float | None = None, word
         own = (mix(ids.view(np.uint64)) % np.maximum(tiles.chunk(key), 1).astype(np.uint64)).astype(np.int64)
         row, block, home = tiles.places(key, own)
         taken = batch.take(pa.array(row))
-        return {"block": block, "home": home, "id": taken.column("id"), "n_shingles": taken.column("n_shingles")} | {n: taken.column(n) for n in names}
-
-    def meet(batches):
-        def roots(part: pa.Table):
-            block = part.column("block").to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
-            home, ids, sizes = part.column("home").to_numpy(), part.column("id").to_numpy(), part.column("n_shingles").to_numpy()
-            prints = np.stack([part.column(n).to_numpy().view(np.uint64) for n in names], 1)
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if hi - lo > 1:
-                    root = forest(home[lo:hi], prints[lo:hi], sizes[lo:hi], radius, size_ratio)
-                    at = np.flatnonzero(root != np.arange(hi - lo))
-                    if len(at):
-                        yield pa.RecordBatch.from_pydict({"a": ids[lo:hi][at], "b": ids[lo:hi][root[at]]})
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:  # the last block of a batch may go on in the next
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            whole = pa.Table.from_batches(held).combine_chunks()
-            block = whole.column("block").to_numpy()
-            cut = int(np.flatnonzero(block != block[-1])[-1]) + 1 if block[0] != block[-1] else 0
-            if cut:
-                yield from roots(whole.slice(0, cut).combine_chunks())
-            held = whole.slice(cut).to_batches()
-        if held:
-            yield from roots(pa.Table.from_batches(held).combine_chunks())
-
-    dealt = _io.arrow(laid, deal, f"block long, home boolean, id long, n_shingles long, {kinds}")
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(meet, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, words: int = 1, size_ratio: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        return {"block": block, "home": home, "id": taken.column("id")} | {n: taken.column(n) for n in names}
+
+    def meet(part: pa.Table):
+        home, ids = part.column("home").to_numpy(), part.column("id").to_numpy()
+        prints = np.stack([part.column(n).to_numpy().view(np.uint64) for n in names], 1)
+        for lo, hi in _io.runs(part.column("block").to_numpy()):
+            if hi - lo > 1:
+                root = forest(home[lo:hi], prints[lo:hi], radius)
+                at = np.flatnonzero(root != np.arange(hi - lo))
+                if len(at):
+                    yield pa.RecordBatch.from_pydict({"a": ids[lo:hi][at], "b": ids[lo:hi][root[at]]})
+
+    dealt = _io.arrow(laid, deal, f"block long, home boolean, id long, {kinds}")
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(lambda batches: _io.whole(batches, ["block"], meet), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, words: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, the fingerprint's words, n_shingles and component_id (smallest linked doc_id, itself included)."""
-    names = [f"f{k}" for k in range(words)] + (["n_shingles"] if size_ratio else [])
+    names = [f"f{k}" for k in range(words)]
     prints = _io.checkpoint(fingerprints(docs, width, words, doc_id, text))
-    classes = _io.checkpoint(prints.groupBy(*names).agg(F.min("doc_id").alias("id"), *([] if size_ratio else [F.max("n_shingles").alias("n_shingles")])).where("id is not null"))
-    found = components(links(classes, radius, size_ratio, words))
-    named = classes.join(found, "id", "left").select(*names, F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, names, "left").select("doc_id", *dict.fromkeys([*names, "n_shingles"]), "component_id")
+    classes = _io.checkpoint(prints.groupBy(*names).agg(F.min("doc_id").alias("id")).where("id is not null"))
+    # classes are joined by their fingerprints, so that ids that several of them share part none and join none
+    classes = _io.checkpoint(classes.withColumn("doc_id", F.col("id")).withColumn("id", F.monotonically_increasing_id()))
+    found = components(links(classes, radius, words))
+    named = classes.join(found.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(*names, "doc_id", F.coalesce("component", "id").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "component").select(*names, "component_id")
+    return prints.join(named, names, "left").select("doc_id", *names, "n_shingles", "component_id")
 
 
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and component_id (smallest linked doc_id, itself included) by links of at least a similarity of sets of shingles."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    names = ["n", "h1", "h2"]
-    sets = _io.checkpoint(setjoin.prefixes(docs, width, similarity, setjoin.frequent(docs, width)))
-    classes = sets.groupBy(*names).agg(F.min("doc_id").alias("id"), F.first("first").alias("first")).where("id is not null")
-    pairs = _io.checkpoint(setjoin.candidates(classes, similarity))
-    found = components(setjoin.links(docs, pairs, width, similarity))
-    classes = sets.groupBy(*names).agg(F.min("doc_id").alias("id")).where("id is not null")
-    named = classes.join(found, "id", "left").select(*names, F.coalesce("component", "id").alias("component_id"))
-    return sets.drop("first").join(named, names, "left").select("doc_id", "component_id")
+    """doc_id, mark (of the text), copies, component_id (smallest linked doc_id, itself included) and stays, of every different row.
+
+    Rows link where the sets of their shingles are at least that similar; of
+    the rows of a component that of the smallest id stays, of several of that
+    id the one of the smallest mark. Rows without an id come last.
+    """
+    docs = nearsets.marked(docs, doc_id, text)
+    sets = _io.checkpoint(nearsets.prefixes(docs, width, similarity, nearsets.frequent(docs, width)))
+    classes, renumbered = nearsets.classes(sets)
+    found = components(nearsets.candidates(sets, renumbered))
+    _io.release(docs.sparkSession)
+    verified = components(nearsets.links(docs, classes, found, width, similarity))
+    named = classes.join(verified.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    least = named.groupBy("component").agg(F.min("first_row").alias("least"))
+    named = named.join(least, "component").select(*nearsets.SET, "least")
+    rows = sets.groupBy("doc_id", "mark", *nearsets.SET).agg(F.count("*").alias("copies")).join(named, nearsets.SET)
+    return rows.select("doc_id", "mark", "copies", F.col("least.doc_id").alias("component_id"), (nearsets.row() == F.col("least")).alias("stays"))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without those that a chain of near copies links to one of smaller id; of equal rows one stays.
+    """The rows of docs without those that a chain of near copies links to one of smaller id; of rows of equal id and text one stays.
 
     Near copies are texts of at least that similarity of their sets of
-    five-word shingles, compared exactly (see setjoin). Rows without an id stay.
+    five-word shingles, compared exactly (see nearsets). What goes is a row, not
+    an id: another text under the same id stays if it is like no other. A null
+    text is an empty one.
     """
     found = _io.checkpoint(similar(docs, width, similarity, doc_id, text))
-    out = docs.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti")
-    again = _io.checkpoint(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(doc_id)))
+    source = _io.packed(docs).withColumns({"doc_id": F.col(f"_row.`{doc_id}`").cast("long"), "mark": nearsets.mark(F.col(f"_row.`{text}`"))})
+
+    def are(rows: DataFrame, how: str, names: DataFrame) -> DataFrame:
+        names = names.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+        return rows.join(names, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), how)
+
+    out = are(source, "left_anti", found.where("not stays"))
+    again = found.where("stays and copies > 1")
     if not again.isEmpty():
-        twice = out.join(again, doc_id, "left_semi").dropDuplicates([doc_id, text])
-        out = out.join(again, doc_id, "left_anti").unionByName(twice)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = are(out, "left_anti", again).unionByName(are(out, "left_semi", again).dropDuplicates(["doc_id", "mark"]))
+    return _io.unpacked(out)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Per-document text statistics, computed on blocks of bytes.
 
 Words are maximal runs of bytes outside U+0020 and U+0009 to U+000D. Nulls are
-empty texts, whose statistics are all 0. Equal windows and lines are found by
-64-bit hashes within a document; every text is read whole.
+empty texts, whose statistics are all 0. Words and lines are equal where their
+bytes are (see _text.numbered); every text is read whole. Repeated rows get the
+same statistics each.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import _io
-from quern.llm._text import ASCII_SPACE, blocks, doc_of, hashes, mix, per_doc, shingles, words
+from quern.llm._text import ASCII_SPACE, blocks, doc_of, numbered, per_doc, words
 
 SYMBOLS = b"#*$%&|<>"
 #: Names of the statistics, in the order of the columns of measure().
@@ -35,6 +36,11 @@ _CONTINUED = np.zeros(256, bool)
 _CONTINUED[0x80:0xC0] = True
 
 
+def ranked(keys: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """A number of each pair (key, more), the same for equal pairs only; both are below 2**31."""
+    return np.unique((keys << 31) + more, return_inverse=True)[1]
+
+
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(is there an equal key, is there an equal key before), for each key."""
     if not len(keys):
@@ -53,16 +59,17 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts, ends, ranges = words(data, offsets, _WORD)
     own = doc_of(ranges)
     head = ~_CONTINUED[data]
-    salt = mix(np.arange(len(offsets) - 1, dtype=np.uint64))
-    hashed = hashes(data, starts, ends)
-    windows = shingles(hashed, 3)
-    inside = own[2:] == own[: len(windows)] if len(windows) else np.zeros(0, bool)
-    twice = np.zeros(len(windows), bool)
-    twice[inside], _ = repeated(windows[inside] ^ salt[own[: len(windows)][inside]])
+    number = numbered(data, starts, ends)
+    # a word of a document, and windows of three as pairs of pairs: equal numbers are equal words of one document
+    in_doc = ranked(number, own)
+    n = max(0, len(starts) - 2)
+    inside = own[2:] == own[:n]
+    twice = np.zeros(n, bool)
+    twice[inside], _ = repeated(ranked(ranked(in_doc[:n][inside], number[1 : n + 1][inside]), number[2:][inside]))
     cover = np.zeros(len(starts), bool)
     for j in range(3):
-        cover[j : j + len(windows)] |= twice
-    _, word_again = repeated(hashed ^ salt[own])
+        cover[j : j + n] |= twice
+    _, word_again = repeated(in_doc)
 
     line_starts = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 0x0A) + 1]))
     line_starts = line_starts[line_starts <= len(data)]
@@ -73,7 +80,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     line_doc = np.searchsorted(offsets, line_starts, "right") - 1
     worded = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends, line_doc = line_starts[worded], line_ends[worded], line_doc[worded]
-    _, line_again = repeated(hashes(data, line_starts, line_ends) ^ salt[line_doc])
+    _, line_again = repeated(ranked(numbered(data, line_starts, line_ends), line_doc))
     line_at = np.searchsorted(line_doc, np.arange(len(offsets)))
 
     upper, letter = _UPPER[data], _LETTER[data]

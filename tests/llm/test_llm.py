@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import bpe, components, decontaminate, licences, pii, puquality, rules, secrets, simhash, stats, tokencount, tokenfile
+from quern.llm import bpe, components, decontaminate, licences, nearsets, pii, puquality, rules, secrets, simhash, stats, tokencount, tokenfile
 from quern.llm._text import blocks
 from quern.llm.queries import QUERIES
 
@@ -115,7 +115,11 @@ def brute_stats(t):
 
 
 def test_stats(spark, sf):
-    rows = texts(600) + documents(spark, sf, 100)
+    odd = "a"
+    for _ in range(10):  # the words of Thue and Morse, which a sum of powers takes as equal
+        odd += odd.translate(str.maketrans("ab", "ba"))
+    even = odd.translate(str.maketrans("ab", "ba"))
+    rows = texts(600) + documents(spark, sf, 100) + [f"{odd}\n{even}", f"{odd} {even} {odd}\n{even} {odd} {even}", f"x\n{odd}\n{odd}\nx"]
     got = np.concatenate([stats.measure(d, o) for _, _, d, o in blocks(pa.array(rows, pa.string()), 4000)])
     assert got[:, :5].tolist() == [brute_stats(t) for t in rows]
     assert by_id(stats.measured(frame(spark, rows[:30])), *stats.NAMES[:5]) == {i: tuple(brute_stats(t)) for i, t in enumerate(rows[:30])}
@@ -213,6 +217,19 @@ def test_deduplicate_keeps_one_of_each_group_and_all_others(spark):
     assert sorted(x["doc_id"] for x in simhash.deduplicate(docs).collect()) == list(range(30))
 
 
+def test_deduplicate_takes_rows_and_not_ids(spark):
+    r = random.Random(6)
+    text = {k: " ".join(f"{k}{r.randrange(5000)}" for _ in range(80)) for k in "ABC"}
+    near = text["C"].rsplit(" ", 1)[0]
+    rows = [(1, "A"), (7, "A"), (7, "B"), (9, "z"), (None, "C"), (None, "D"), (None, "B"), (9, "z"), (12, ""), (13, None), (14, "D")]
+    text |= {"z": "z", "D": near, "": "", None: None}
+    docs = spark.createDataFrame([(i, text[k], f"{i}{k}") for i, k in rows], "doc_id long, text string, `a.b` string").withColumn("_row", F.lit(1)).withColumn("mark", F.lit(2))
+    out = simhash.deduplicate(docs)
+    assert out.columns == docs.columns
+    assert collections.Counter(x["a.b"] for x in out.collect()) == collections.Counter(["1A", "7B", "9z", "12", "14D"])
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
+
+
 GRAM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -252,7 +269,12 @@ def brute_sets(rows, width=5):
     return out
 
 
-def test_near_copies_link_at_a_similarity_of_their_shingles(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_near_copies_link_at_a_similarity_of_their_shingles(spark, monkeypatch, small):
+    if small:  # tiles that are cut, groups of several chunks, numbers of classes that clash
+        for name, value in (("TILE", 40), ("MEMBERS", 7), ("SMALL", 4)):
+            monkeypatch.setattr(nearsets, name, value)
+        monkeypatch.setattr(nearsets, "number", lambda salt=0: F.pmod(F.xxhash64(*nearsets.SET, F.lit(salt)), F.lit(1 << (14 + salt))))
     r = random.Random(8)
     rows = []
     for _ in range(60):  # variants around the threshold, far and near
@@ -264,6 +286,12 @@ def test_near_copies_link_at_a_similarity_of_their_shingles(spark):
                 words[r.randrange(len(words))] = f"x{r.randrange(9000)}"
             rows.append(" ".join(words))
     rows += ["", " ", "a b c d e f g " * 30, "A b c d e f g " * 40]
+    base = [f"v{i}" for i in range(100)]
+    for i in range(120):  # a group of many unlike near copies of one text
+        words = list(base)
+        for _ in range(i % 5):
+            words[r.randrange(100)] = f"x{r.randrange(9000)}"
+        rows.append(" ".join(words))
     found = brute_sets(rows)
     same = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
     near = [(i, j) for i in range(len(rows)) for j in range(i) if same(found[i], found[j])]
