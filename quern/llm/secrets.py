@@ -14,7 +14,9 @@ numbers and from the word list below; users may pass their own, of any size.
 Counts are aggregated before they are shuffled, and what reaches the driver is
 bounded by the square of the alphabet.
 
-Nulls are empty texts and have no findings. Texts are scanned whole.
+Nulls are empty texts and have no findings. Texts are scanned whole, in a time
+that grows with their length, whatever they hold. Repeated rows are scanned and
+returned each; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -150,24 +152,72 @@ def best(text: Column, model: list[float], threshold: float, least: int = 20) ->
     return F.when(F.length(text) >= least, F.element_at(F.transform(F.array(codes), walk), 1)).otherwise(-1e9)
 
 
-def spans(text: str, pattern: str, kind: int, keep) -> Column:
+#: Matches whose places are summed up one after another; blocks of so many are then put in their places.
+STRIDE = 128
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, whatever often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _below(parts: Column, zero: Column) -> Column:
+    """The sum of all before each of an array's numbers, and of all."""
+    return F.aggregate(parts, F.array(zero), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+
+
+def spans(text: Column, pattern: str, kind: int, keep) -> Column:
     """start, kind, end of the leftmost non-overlapping matches of pattern that keep holds for.
 
     Places are sums of the lengths of what lies between matches and of the
-    matches; a text without matches isn't split.
+    matches, block by block, so that time grows with the text's length; a text
+    without matches that are kept isn't split.
     """
-    found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    zero = F.lit(0).cast("bigint")
     nothing = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
-    between = F.split(F.col(text), pattern, -1)
 
-    def step(acc: Column, i: Column) -> Column:
-        match = F.element_at(found, i)
-        start = acc["at"] + F.length(F.element_at(between, i))
-        end = start + F.length(match)
-        return F.struct(end.alias("at"), F.when(keep(match), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))))).otherwise(acc["out"]).alias("out"))
+    def placed(found: Column, kept: Column) -> Column:
+        def sized(between: Column) -> Column:
+            return F.transform(found, lambda m, i: F.struct(F.length(F.element_at(between, i + 1)).alias("gap"), F.length(m).alias("size"), F.element_at(kept, i + 1).alias("kept")))
+
+        def blocks(sizes: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / STRIDE).cast("int")), lambda b: F.slice(sizes, b * STRIDE + 1, F.lit(STRIDE)))
+
+        def within(block: Column, begin: Column) -> Column:
+            lengths = F.transform(block, lambda x: (x["gap"] + x["size"]).cast("bigint"))
+            ends = lambda below: F.transform(block, lambda x, i: F.struct((begin + F.element_at(below, i + 2) - x["size"]).alias("start"), F.lit(kind).alias("kind"), (begin + F.element_at(below, i + 2)).alias("end"), x["kept"].alias("kept")))
+            return let(_below(lengths, zero), ends)
+
+        def all_of(parts: Column) -> Column:
+            totals = F.transform(parts, lambda p: F.aggregate(p, zero, lambda n, x: n + x["gap"] + x["size"]))
+            return let(_below(totals, zero), lambda begins: F.flatten(F.transform(parts, lambda p, b: within(p, F.element_at(begins, b + 1)))))
+
+        every = let(F.split(text, pattern, -1), lambda between: let(sized(between), lambda sizes: let(blocks(sizes), all_of)))
+        return F.transform(F.filter(every, lambda x: x["kept"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+    def matched(found: Column) -> Column:
+        return let(F.transform(found, keep), lambda kept: F.when(F.exists(kept, lambda k: k), placed(found, kept)).otherwise(nothing))
 
-    walk = F.aggregate(F.sequence(F.lit(1), F.size(found)), F.struct(F.lit(0).cast("bigint").alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.exists(found, keep), walk).otherwise(nothing)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, matched(found)).otherwise(nothing))
+
+
+def apart(runs: Column, base: Column) -> Column:
+    """The runs (disjoint, in order) that overlap none of base.
+
+    A run overlaps none if as many of base begin before its end as end before
+    its start. Both numbers are ranks in a sorted array of both.
+    """
+    place = lambda at, run, number: F.struct(at.cast("bigint").alias("at"), F.lit(number).alias("order"), F.lit(run).alias("run"))
+
+    def ranks(of_runs: Column, of_base: Column) -> Column:
+        order = F.array_sort(F.concat(of_runs, of_base))
+        return F.transform(F.filter(F.transform(order, lambda x, i: F.struct(x["run"].alias("run"), i.alias("i"))), lambda x: x["run"]), lambda x, j: x["i"] - j)
+
+    begun = ranks(F.transform(runs, lambda s: place(s["end"], True, 0)), F.transform(base, lambda b: place(b["start"], False, 1)))
+    ended = ranks(F.transform(runs, lambda s: place(s["start"], True, 1)), F.transform(base, lambda b: place(b["end"], False, 0)))
+    free = lambda x: F.filter(F.transform(runs, lambda s, i: F.struct(s.alias("s"), (F.element_at(x["begun"], i + 1) == F.element_at(x["ended"], i + 1)).alias("free"))), lambda y: y["free"])
+    some = F.transform(let(F.struct(begun.alias("begun"), ended.alias("ended")), free), lambda y: y["s"])
+    return F.when((F.size(runs) > 0) & (F.size(base) > 0), some).otherwise(runs)
 
 
 def rendered(column: str) -> Column:
@@ -176,21 +226,18 @@ def rendered(column: str) -> Column:
 
 
 def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """docs with columns base and found: arrays of (start, kind, end), of the patterns and with the model's findings."""
-    source = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    """docs with columns base and found: arrays of (start, kind, end), of the patterns and with the model's findings.
+
+    Columns of these names are replaced; other names can't clash.
+    """
+    source = _io.packed(docs).withColumn("text", F.coalesce(F.col(f"_row.`{text}`").cast("string"), F.lit("")))
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6
     random = lambda m: best(m, model, threshold) > 0
     every = lambda m: F.lit(True)
-    # each scan is a stage of its own, so that its matches are found once
     for i, (pattern, keep) in enumerate(((ASSIGN, value), (ACCESS, every), (HEX, every), (CANDIDATE, random))):
-        source = spans_of(source, pattern, i, keep)
-    out = source.withColumn("base", F.array_sort(F.concat("_k0", "_k1", "_k2")))
-    extra = F.filter("_k3", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return out.withColumn("found", F.array_sort(F.concat("base", extra))).drop("_text", "_k0", "_k1", "_k2", "_k3")
-
-
-def spans_of(source: DataFrame, pattern: str, kind: int, keep) -> DataFrame:
-    return source.withColumn(f"_k{kind}", spans("_text", pattern, kind, keep))
+        source = source.withColumn(f"k{i}", spans(F.col("text"), pattern, i, keep))
+    out = source.withColumn("base", F.array_sort(F.concat("k0", "k1", "k2"))).withColumn("found", F.array_sort(F.concat("base", apart(F.col("k3"), F.col("base")))))
+    return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in ("base", "found")], "base", "found")
 
 
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
