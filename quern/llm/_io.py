@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -144,6 +144,12 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
 
 
+def widened(df: DataFrame, columns: Sequence[str], new: dict[str, Column]) -> DataFrame:
+    """The columns packed in _row and new ones, which replace those of their names."""
+    made = df.select("_row", F.struct(*[c.alias(n) for n, c in new.items()]).alias("_new"))
+    return made.select(*[F.col(f"_row.`{c}`") for c in columns if c not in new], *[F.col(f"_new.`{n}`") for n in new])
+
+
 def sampled(df: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
     """At most so many rows: all of them where there are no more, else those whose key's hash lies under a bound.
 

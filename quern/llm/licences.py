@@ -3,22 +3,26 @@
 Every line and sentence of a whole text that names a licence is a candidate for
 notices and SPDX identifiers; its blocks, the comment at its top and the whole
 text, of any length, are candidates for standard headers and licence texts, each
-kind with weights of its own. Candidates and templates are sparse TF-IDF vectors: term counts times  ln((1 + N) / (1 + df)) + 1  with df
-counted over the N templates, words outside them weighing as with df 0. A file
-has the licence of the template of the highest cosine of any candidate, if that
-is at least a threshold; among equals the first by name.
+kind with weights of its own. Candidates and templates are sparse TF-IDF
+vectors: term counts times  ln((1 + N) / (1 + df)) + 1  with df counted over the
+N templates, words outside them weighing as with df 0. A file has the licence of
+the template of the highest cosine of any candidate, if that is at least a
+threshold; among equals the first by name.
 
 A file without a licence of its own inherits that of its nearest ancestor
 directory: directories get the licence of the licence files in them (named
 LICENSE, LICENCE, COPYING or UNLICENSE), the most frequent one, first by name
-among equals. Directories are first reduced to distinct ones; these are joined
+among equals. Where paths have no names, a file stands as a licence file if its
+whole text is as near to a template, whatever its length. Directories are first reduced to distinct ones; these are joined
 by the paths of their ancestors, and the files with the directories, so a
 directory of a third of all files is one row until the last join, which
 adaptive execution splits.
 
 Nulls are empty texts without a licence. A file of null path inherits nothing.
+Repeated rows are judged and returned each, and count each among the files of a
+directory; an empty table gives an empty one. Time grows with a text's length.
 Templates are a parameter and go to the workers as literals; at most
-``MAX_TEMPLATES`` are taken, more are refused.
+``MAX_CELLS`` numbers (templates times their words), more are refused.
 """
 
 from __future__ import annotations
@@ -35,7 +39,9 @@ from pyspark.sql import functions as F
 from quern.llm import _io
 
 THRESHOLD = 0.6
-MAX_TEMPLATES = 200
+#: Least cosine of headers and texts, which are long and alike in their legal words.
+LONG_THRESHOLD = 0.75
+MAX_CELLS = 1 << 22
 
 # Notices by which licences are declared.
 TEMPLATES = {
@@ -47,6 +53,7 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0, the Creative Commons Attribution ShareAlike 4.0 License.",
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal.",
+    "Elastic-2.0": "Licensed under the Elastic License 2.0.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "ISC": "Released under the ISC License.",
@@ -71,8 +78,25 @@ HEADERS = {
     "LGPL-3.0": _GNU.format("Lesser General Public License", 3),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
+# The titles that stand over the texts, and the clause that texts of one family begin with.
+TITLES = {
+    "AGPL-3.0": "GNU Affero General Public License Version 3, 19 November 2007",
+    "Apache-2.0": "Apache License Version 2.0, January 2004",
+    "BSD-2-Clause": "BSD 2-Clause License",
+    "BSD-3-Clause": "BSD 3-Clause License",
+    "Elastic-2.0": "Elastic License 2.0",
+    "GPL-2.0": "GNU General Public License Version 2, June 1991",
+    "GPL-3.0": "GNU General Public License Version 3, 29 June 2007",
+    "ISC": "ISC License",
+    "LGPL-3.0": "GNU Lesser General Public License Version 3, 29 June 2007",
+    "MIT": "MIT License",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+}
 # a header's paragraphs may be apart: the one that names the licence is a template too
 HEADERS = {n: [t] + ([t.split(" This program is distributed")[0]] if "This program" in t else [t.split(" Unless required")[0]] if "Unless" in t else []) for n, t in HEADERS.items()}
+for _name, _title in TITLES.items():
+    HEADERS[_name] = [*HEADERS.get(_name, []), _title]
+HEADERS["BSD-2-Clause"].append(_BSD)
 TEXTS = {f.stem: [f.read_text()] for f in sorted(_FOLDER.glob("*.txt"))} | {
     "BSD-2-Clause": [_BSD + _AS_IS],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."],
@@ -154,37 +178,46 @@ def named(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in TRIGGERS])
 
 
-def own_licences(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text: str = "text", stands: str | None = None) -> DataFrame:
-    """files with own_licence and own_score (both null without one), and whether the whole text is one of TEXTS if a column is named for it."""
+def own_licences(files: DataFrame, templates: dict[str, str | list[str]] | None = None, threshold: float = THRESHOLD, text: str = "text", stands: str | None = None) -> DataFrame:
+    """files with own_licence and own_score (both null without one), and, if a column is named for it, whether the whole text is a notice or a licence's text.
+
+    Columns of these names are replaced; other names can't clash.
+    """
     lines, marks, long = (entries(TEMPLATES), entries(IDENTIFIERS), entries(HEADERS) + entries(TEXTS)) if templates is None else (entries(templates), [], [])
-    if not 0 < len(lines) <= MAX_TEMPLATES:
-        raise ValueError(f"1 to {MAX_TEMPLATES} templates, not {len(lines)}")
-    whole = F.coalesce(F.col(text), F.lit(""))
+    if not lines:
+        raise ValueError("no templates")
+    for family in (lines, marks, long):
+        cells = len(family) * len({w for _, t in family for w in re.findall(WORD, t.lower())})
+        if cells > MAX_CELLS:
+            raise ValueError(f"templates of {cells} numbers, more than {MAX_CELLS}")
+    whole = F.coalesce(F.col(f"_row.`{text}`").cast("string"), F.lit(""))
     nothing = F.array().cast("array<string>")
     rows = F.split(whole, "\n")
     code = F.array_position(F.transform(rows, lambda x: x.rlike(COMMENT)), False).cast("int")
     head = F.array_join(F.slice(rows, 1, F.when(code > 0, code - 1).otherwise(F.size(rows))), "\n")
     blocks = F.filter(F.array_append(F.split(whole, BLOCK), head), named)
     # texts that name no licence are never cut
-    out = files.withColumn("_named", named(whole))
-    out = out.withColumn("_lines", F.when(F.col("_named"), F.array_distinct(F.array_append(F.filter(F.split(whole, CUT), named), whole))).otherwise(nothing))
-    out = out.withColumn("_blocks", F.when(F.col("_named"), F.array_except(F.array_distinct(blocks), F.array(whole))).otherwise(nothing)).withColumn("_whole", F.when(F.col("_named"), F.array(whole)).otherwise(nothing))
+    out = _io.packed(files).withColumn("named", named(whole))
+    out = out.withColumn("lines", F.when(F.col("named"), F.array_except(F.array_distinct(F.filter(F.split(whole, CUT), named)), F.array(whole))).otherwise(nothing))
+    out = out.withColumn("blocks", F.when(F.col("named"), F.array_except(F.array_distinct(blocks), F.array(whole))).otherwise(nothing)).withColumn("whole", F.when(F.col("named"), F.array(whole)).otherwise(nothing))
     parts, names = [], []
-    for kind, family, candidates in (("lines", lines, "_lines"), ("marks", marks, "_lines"), ("blocks", long, "_blocks"), ("whole", long, "_whole")):
+    for kind, family, candidates in (("lines", lines, "lines"), ("marks", marks, "lines"), ("blocks", long, "blocks"), ("notice", lines, "whole"), ("mark", marks, "whole"), ("text", long, "whole")):
         if family:
-            out = out.withColumn(f"_{kind}_scores", best_cosines(F.col(candidates), family))
-            parts.append(f"_{kind}_scores")
+            scores = best_cosines(F.col(candidates), family)
+            out = out.withColumn(f"{kind}_scores", scores if family is not long else F.transform(scores, lambda s: F.when(s >= LONG_THRESHOLD, s).otherwise(0.0)))
+            parts.append(f"{kind}_scores")
             names += [n for n, _ in family]
-    out = out.withColumn("_scores", F.when(F.col("_named"), F.concat(*parts)))
-    best = F.array_max("_scores")
+    out = out.withColumn("scores", F.when(F.col("named"), F.concat(*parts)))
+    best = F.array_max("scores")
     out = out.withColumn("own_score", F.when(best >= threshold, F.round(best, 6)))
-    first = F.array_min(F.filter(F.zip_with("_scores", F.array(*map(F.lit, names)), lambda s, n: F.when(s == best, n)), lambda n: n.isNotNull()))
-    out = out.withColumn("own_licence", F.when(F.col("own_score").isNotNull(), first))
+    first = F.array_min(F.filter(F.zip_with("scores", F.array(*map(F.lit, names)), lambda s, n: F.when(s == best, n)), lambda n: n.isNotNull()))
+    own = {"own_licence": F.when(F.col("own_score").isNotNull(), first), "own_score": F.col("own_score")}
     if stands:
         n = len(entries(HEADERS))
-        headers, texts = F.array_max(F.slice("_whole_scores", 1, n)), F.array_max(F.slice("_whole_scores", n + 1, len(entries(TEXTS))))
-        out = out.withColumn(stands, F.coalesce(F.col("_named") & (texts >= threshold) & (texts > headers), F.lit(False)))
-    return out.drop("_named", "_lines", "_blocks", "_whole", "_scores", *parts)
+        text_score = F.array_max(F.slice("text_scores", n + 1, len(long) - n)) if long else F.lit(0.0)
+        header_score = F.array_max(F.slice("text_scores", 1, n)) if long else F.lit(0.0)
+        own[stands] = F.col("named") & ((F.array_max("notice_scores") >= threshold) | (text_score > header_score))
+    return _io.widened(out, files.columns, own)
 
 
 def directory(path: Column) -> Column:
@@ -200,25 +233,27 @@ def ancestors(path: Column) -> Column:
     return F.when(path == "", F.array(F.struct(F.lit("").alias("above"), F.lit(0).alias("distance")))).otherwise(F.array_append(above, F.struct(F.lit("").alias("above"), n.alias("distance"))))
 
 
-def inherited(files: DataFrame, path: str = "path") -> DataFrame:
-    """files (with own_licence) and inherited_licence, inherited_from and licence: own, else inherited."""
-    named = files.withColumn("_directory", directory(F.col(path)))
-    declared = named.where(F.col(path).rlike(LICENCE_FILE) & F.col("own_licence").isNotNull()).groupBy("_directory", "own_licence").count()
-    declared = declared.groupBy(F.col("_directory").alias("_above")).agg(F.min_by("own_licence", F.struct(-F.col("count"), "own_licence")).alias("_licence"))
-    places = named.where("_directory is not null").select("_directory").distinct().select("_directory", F.inline(ancestors(F.col("_directory"))))
-    nearest = places.join(declared, F.col("above") == F.col("_above")).groupBy("_directory").agg(F.min_by(F.struct("_licence", "_above"), "distance").alias("_nearest"))
-    out = named.join(nearest, "_directory", "left")
-    out = out.withColumn("inherited_licence", F.when(F.col("own_licence").isNull(), F.col("_nearest._licence"))).withColumn("inherited_from", F.when(F.col("own_licence").isNull(), F.col("_nearest._above")))
-    return out.withColumn("licence", F.coalesce("own_licence", "inherited_licence")).drop("_directory", "_nearest")
+def inherited(files: DataFrame, path: str = "path", stands: str | None = None) -> DataFrame:
+    """files (with own_licence) and inherited_licence, inherited_from and licence: own, else inherited.
+
+    stands: a column that says which are licence files, where names don't.
+    Columns of the three names are replaced; other names can't clash.
+    """
+    place = F.col(f"_row.`{path}`").cast("string")
+    named = _io.packed(files).withColumns({"directory": directory(place), "own": F.col("_row.own_licence"), "file": F.col(f"_row.`{stands}`") if stands else place.rlike(LICENCE_FILE)})
+    declared = named.where(F.col("file") & F.col("own").isNotNull() & F.col("directory").isNotNull()).groupBy("directory", "own").count()
+    declared = declared.groupBy(F.col("directory").alias("declared")).agg(F.min_by("own", F.struct(-F.col("count"), "own")).alias("licence"))
+    places = named.where("directory is not null").select("directory").distinct().select("directory", F.inline(ancestors(F.col("directory"))))
+    nearest = places.join(declared, F.col("above") == F.col("declared")).groupBy(F.col("directory").alias("place")).agg(F.min_by(F.struct("licence", "declared"), "distance").alias("nearest"))
+    out = named.join(nearest, F.col("directory") == F.col("place"), "left")
+    mine = F.col("own").isNull()
+    found = {"inherited_licence": F.when(mine, F.col("nearest.licence")), "inherited_from": F.when(mine, F.col("nearest.declared")), "licence": F.coalesce("own", "nearest.licence")}
+    return _io.widened(out, files.columns, found)
 
 
 def op1_licences(spark, sf_dir: str) -> DataFrame:
-    """Licences of documents. A document's directory is its source; a short one that is a notice, or one that is a licence's text, stands as its licence file."""
+    """Licences of documents. A document's directory is its source; one whose whole text is a notice or a licence's text stands as its licence file."""
     docs = _io.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    notice = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z]+", " ")
-    stands = F.col("_stands") | ((F.length("text") <= 120) & notice.rlike(r"^ ?(this work is )?(licensed|released) under "))
-    name = F.when(stands, F.lit("LICENSE")).otherwise(F.col("doc_id").cast("string"))
-    files = own_licences(docs, stands="_stands")
-    files = files.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("")), name)).drop("text", "_stands")
+    files = own_licences(docs, stands="stands").withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))).drop("text")
     files = _io.checkpoint(files)  # without texts; directories are then found without reading these again
-    return inherited(files).select("doc_id", "own_licence", "own_score", "inherited_licence", "inherited_from", "licence")
+    return inherited(files, stands="stands").select("doc_id", "own_licence", "own_score", "inherited_licence", "inherited_from", "licence")

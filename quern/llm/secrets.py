@@ -237,7 +237,7 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, text
     for i, (pattern, keep) in enumerate(((ASSIGN, value), (ACCESS, every), (HEX, every), (CANDIDATE, random))):
         source = source.withColumn(f"k{i}", spans(F.col("text"), pattern, i, keep))
     out = source.withColumn("base", F.array_sort(F.concat("k0", "k1", "k2"))).withColumn("found", F.array_sort(F.concat("base", apart(F.col("k3"), F.col("base")))))
-    return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in ("base", "found")], "base", "found")
+    return _io.widened(out, docs.columns, {"base": F.col("base"), "found": F.col("found")})
 
 
 def op3_secrets(spark, sf_dir: str) -> DataFrame:

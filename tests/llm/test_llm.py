@@ -425,7 +425,7 @@ def test_licences(spark):
 
 def test_licence_headers_identifiers_and_texts(spark):
     wrap = lambda t, mark: "".join(f"{mark} {line}\n" for line in re.findall(r".{1,70}(?:\s|$)", t))
-    rows = [(n, f"/*\n{wrap(t[0], ' *')} */\n#include <x>\nint main() {{ return 1; }}") for n, t in licences.HEADERS.items()]
+    rows = [(n, f"/*\n{wrap(t[0], ' *')} */\n#include <x>\nint main() {{ return 1; }}" + " x" * 60) for n, t in licences.HEADERS.items()]
     rows += [(n, wrap(t[0], "#") + "import os\n" * 50) for n, t in licences.HEADERS.items()]
     rows += [(n, f"// {x}\nint x;\n") for n, t in licences.IDENTIFIERS.items() for x in t]
     rows += [(n, "Copyright (c) 2024 Some One\n\n" + x) for n, t in licences.TEXTS.items() for x in t]
@@ -434,7 +434,7 @@ def test_licence_headers_identifiers_and_texts(spark):
     got = by_id(licences.own_licences(df, stands="stands"), "own_licence", "stands")
     assert {i: n for i, (n, _) in got.items()} == {i: n for i, (n, _) in enumerate(rows)}
     n = sum(map(len, licences.TEXTS.values()))
-    assert all(got[i][1] for i in range(len(rows) - 1 - n, len(rows) - 1)) and not any(got[i][1] for i in range(len(rows) - 1 - n))
+    assert all(got[i][1] for i in range(len(rows) - 1 - n, len(rows) - 1)) and not any(got[i][1] for i in range(2 * len(licences.HEADERS)))
 
 
 # --- queries and pipeline -------------------------------------------------------------
