@@ -135,6 +135,32 @@ def field(batch: pa.RecordBatch, name: str) -> pa.Array:
     return pc.struct_field(batch.column("_row"), [batch.column("_row").type.get_field_index(name)])
 
 
+def beside(docs: DataFrame, name: str, function: Callable[[], Callable[[pa.Array], dict]], new: dict[str, str], order: Sequence[str]) -> DataFrame:
+    """docs with new columns (name: type) that a function makes of one column's batches, in the order given.
+
+    function() is called once a task. Columns of the names replace those of
+    docs; the others go along as they are, whatever their names.
+    """
+    small_batches(docs.sparkSession)
+    rest = [c for c in docs.columns if c in order and c not in new]
+    kept = [c for c in rest if c != name]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("nothing"))
+    source = docs.select(row.alias("_row"), F.col(f"`{name}`").alias("_in"))
+    made = [f"c{i}" for i in range(len(new))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = function()
+        for batch in batches:
+            out = one(batch.column("_in"))
+            back = [batch.column("_in")] if name in rest else []
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), *back, *(out[n] for n in new)], ["_row", *["_in"][: len(back)], *made])
+
+    fields = [source.schema["_row"], *([source.schema["_in"]] if name in rest else []), *StructType.fromDDL(", ".join(f"c{i} {kind}" for i, kind in enumerate(new.values())) or "x int").fields[: len(new)]]
+    out = source.mapInArrow(run, StructType(fields))
+    at = {n: F.col(f"c{i}") for i, n in enumerate(new)} | {c: F.col(f"_row.`{c}`") for c in kept} | ({name: F.col("_in")} if name in rest else {})
+    return out.select(*[at[c].alias(c) for c in order])
+
+
 def carried(df: DataFrame, schema: str) -> StructType:
     """The schema of _row and of the columns named."""
     return StructType([df.schema["_row"], *StructType.fromDDL(schema).fields])

@@ -5,7 +5,9 @@ vocabulary entry is one probe and one comparison of bytes. Tier two merges the
 others with a heap of adjacent pairs over a doubly linked list of byte ranges,
 lowest rank first and leftmost first among equals.
 
-Nulls are empty texts and give no ids. Texts are encoded whole.
+Nulls are empty texts and give no ids. Texts are encoded whole. Repeated rows are
+encoded and returned each; an empty table gives an empty one. Columns of the new
+columns' names are replaced, others can't clash.
 """
 
 from __future__ import annotations
@@ -161,21 +163,21 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids", raw
 
 
 def _coded(docs: DataFrame, path: str, pattern: str, source: str, target: str, verb: str, checked: str | None = None) -> DataFrame:
-    _io.small_batches(docs.sparkSession)
-    columns = [c for c in docs.columns if c not in (target, checked)]
-
-    def run(batches):
+    def start():
         own = codec(path, pattern)
         code, empty = getattr(own, verb), "" if verb == "encode" else b""
-        for batch in batches:
-            out = [code(x.as_py() or empty) for x in batch.column(source)]
-            extra = [pa.array(out, pa.binary())]
+
+        def run(column: pa.Array) -> dict:
+            out = [code(x.as_py() or empty) for x in column]
+            made = {target: pa.array(out, pa.binary())}
             if checked:
-                extra.append(pa.array([own.decode(i) == (x.as_py() or "").encode() for i, x in zip(out, batch.column(source), strict=True)], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *extra], [*columns, target, *([checked] if checked else [])])
+                made[checked] = pa.array([own.decode(i) == (x.as_py() or "").encode() for i, x in zip(out, column, strict=True)], pa.bool_())
+            return made
+
+        return run
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(columns).schema]
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{target}` binary", *([f"`{checked}` boolean"] if checked else [])]))
+    new = {target: "binary"} | ({checked: "boolean"} if checked else {})
+    return _io.beside(docs, source, start, new, [*(c for c in docs.columns if c not in new), *new])
 
 
 def op4_byte_bpe(spark, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:

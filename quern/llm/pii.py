@@ -4,26 +4,33 @@ What is found is validated (Luhn sums, IBAN check digits, octets, calendar days,
 numbering rules), ranked within the set of all values of its format, permuted
 there by a keyed Feistel network with cycle walking, and written in the same
 format: card numbers stay Luhn-valid, IBANs keep valid check digits, dates stay
-calendar days, addresses keep their domain and their pattern of letters and
-digits. The permutation is one-to-one and depends on the key and the kind only,
-so equal values stay linked across documents and different ones stay different.
-Numbers that fail validation are left as they are.
+calendar days, phone numbers keep their country, addresses keep their domain and
+their pattern of letters and digits. The permutation is one-to-one and depends
+on the key and the kind only, so equal values stay linked across documents,
+however they are spelt, and different ones stay different. Numbers that fail
+validation are left as they are.
+
+Dates of days up to the twelfth and later ones are permuted apart: a date in
+numbers so has a pseudonym that is read in the same order of day and month (day
+first, where both can be). IPv6 addresses are written in their short form.
 
 Null texts stay null; texts without findings come back unchanged. Where
-findings overlap the earlier kind of ``KINDS`` wins.
+findings overlap the earlier kind of ``KINDS`` wins. Repeated rows are rewritten
+alike; an empty table gives an empty one. Time grows with a text's length.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from math import isqrt, prod
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quern.llm import _io
 
@@ -32,8 +39,13 @@ ROUNDS = 10
 #: Key of the registered query; users pass their own.
 DEMO_KEY = b"demonstration key, not a secret"
 
-_FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
-_DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
+_EVERY_DAY = range(datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal())
+#: Days up to the twelfth of a month, and later ones.
+_DAYS = tuple([d for d in _EVERY_DAY if (datetime.date.fromordinal(d).day > 12) == late] for late in (False, True))
+_RANK = {d: i for days in _DAYS for i, d in enumerate(days)}
+# Country codes of one and two digits; the others have three.
+_ONE_DIGIT = ("1", "7")
+_TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 #: Alphabets within which a character is replaced.
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])), "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xDF)])))
 _PLACE = {c: (alphabet, i) for alphabet in _ALPHABETS for i, c in enumerate(alphabet)}
@@ -122,6 +134,14 @@ def _iban(text: str, feistel: Feistel, back: bool) -> str | None:
 
 
 def _ip(text: str, feistel: Feistel, back: bool) -> str | None:
+    if ":" in text:
+        try:
+            address = ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        if sum(map(bool, text.split(":"))) < 4:  # names of code have two colons too
+            return None
+        return ipaddress.IPv6Address(feistel.permute(int(address), 1 << 128, "ipv6", back)).compressed
     octets = [int(x) for x in text.split(".")]
     if max(octets) > 255 or any(len(x) > 1 and x[0] == "0" for x in text.split(".")):
         return None
@@ -142,12 +162,13 @@ def _ssn(text: str, feistel: Feistel, back: bool) -> str | None:
 
 def _phone(text: str, feistel: Feistel, back: bool) -> str | None:
     digits = _digits(text)
-    if not (8 <= len(digits) <= 15 if text[0] == "+" else len(digits) == 10):
+    if text[0] == "+":
+        code = 1 if digits[0] in _ONE_DIGIT else 2 if digits[:2] in _TWO_DIGITS else 3
+    else:
+        code = 2 if text[0] == "0" else 0  # a national number keeps its trunk and zone
+    if not (8 <= len(digits) <= 15 and digits[0] != "0" if text[0] == "+" else len(digits) == 10):
         return None
-    code = len(re.match(r"\+?([0-9]*)", text)[1]) if text[0] == "+" else 0
-    if code > 3:  # no separator after the country code
-        code = 1 if digits[0] in "17" else 2
-    return _refill(text, digits[:code] + _masked(digits[code:], feistel, "phone", back))
+    return _refill(text, digits[:code] + _masked(digits[code:], feistel, "phone" + digits[:code] * (text[0] == "0"), back))
 
 
 def _date(text: str, feistel: Feistel, back: bool) -> str | None:
@@ -155,12 +176,13 @@ def _date(text: str, feistel: Feistel, back: bool) -> str | None:
     orders = [(int(a), int(b), int(c))] if len(a) == 4 else [(int(c), int(b), int(a)), (int(c), int(a), int(b))]
     for at, parts in enumerate(orders):
         try:
-            day = datetime.date(*parts).toordinal() - _FIRST_DAY
+            day = datetime.date(*parts)
         except ValueError:
             continue
-        if not 0 <= day < _DAYS:
+        if day.toordinal() not in _RANK:
             return None
-        new = datetime.date.fromordinal(feistel.permute(day, _DAYS, "date", back) + _FIRST_DAY)
+        days = _DAYS[day.day > 12]
+        new = datetime.date.fromordinal(days[feistel.permute(_RANK[day.toordinal()], len(days), f"date{day.day > 12}", back)])
         if len(a) == 4:
             return f"{new.year:04d}{mark}{new.month:02d}{mark}{new.day:02d}"
         first, second = (new.day, new.month) if at == 0 else (new.month, new.day)
@@ -176,10 +198,10 @@ def _email(text: str, feistel: Feistel, back: bool) -> str | None:
 _PATTERNS: dict[str, tuple[re.Pattern, Callable[[str, Feistel, bool], str | None]]] = {
     "email": (re.compile(r"(?<![^\W_])[^\W_](?:[\w.%+-]{0,63})@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"), _email),
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), _iban),
-    "ip": (re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])"), _ip),
-    "card": (re.compile(r"(?<!\w)(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?!\w)"), _card),
+    "ip": (re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])|(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}|:)(?::[0-9A-Fa-f]{0,4}){2,8}(?![\w:]|\.[0-9])"), _ip),
+    "card": (re.compile(r"(?<![\w+])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?!\w)"), _card),
     "ssn": (re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), _ssn),
-    "phone": (re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w)"), _phone),
+    "phone": (re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|(?<![.-])0[1-9](?:[ .-][0-9]{2}){4}(?![.-]?[0-9]))(?!\w)"), _phone),
     "date": (re.compile(r"(?<![\w/.-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![\w/-]|\.[0-9])"), _date),
 }
 _LOCAL = re.compile(r"[\w.%+-]")
@@ -209,10 +231,15 @@ def findings(text: str, feistel: Feistel, back: bool = False) -> list[tuple[int,
     out: list[tuple[int, int, str, str]] = []
     for kind in KINDS:
         pattern, replace = _PATTERNS[kind]
+        starts, more = [f[0] for f in out], []
         for m in _emails(text) if kind == "email" else pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b, _, _ in out) and (new := replace(m[0], feistel, back)) is not None:
-                out.append((m.start(), m.end(), kind, new))
-    return sorted(out)
+            at = bisect_right(starts, m.start())
+            free = (not at or out[at - 1][1] <= m.start()) and (at == len(out) or m.end() <= starts[at])
+            if free and (new := replace(m[0], feistel, back)) is not None:
+                more.append((m.start(), m.end(), kind, new))
+        if more:
+            out = sorted(out + more)
+    return out
 
 
 def rewrite(text: str, found: list[tuple[int, int, str, str]]) -> str:
@@ -224,29 +251,27 @@ def rewrite(text: str, found: list[tuple[int, int, str, str]]) -> str:
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", counts: bool = True, back: bool = False) -> DataFrame:
-    """docs with findings in the text column replaced, and with columns pii_<kind> of counts if asked for.
+    """docs with findings in the text column replaced, and with columns pii_<kind> of counts if asked for, which replace columns of their names.
 
     back: undoes it, given the key.
     """
-    _io.small_batches(docs.sparkSession)
     names = [f"pii_{k}" for k in KINDS] if counts else []
-    columns = [c for c in docs.columns if c not in names]
 
-    def run(batches):
+    def start():
         feistel = Feistel(key)
-        for batch in batches:
+
+        def run(column: pa.Array) -> dict:
             texts, found = [], []
-            for x in batch.column(text):
+            for x in column:
                 raw = x.as_py()
                 own = findings(raw, feistel, back) if raw else []
                 texts.append(rewrite(raw, own) if own else raw)
                 found.append(own)
-            arrays = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in columns]
-            arrays += [pa.array([sum(f[2] == k for f in own) for own in found], pa.int32()) for k in KINDS] if counts else []
-            yield pa.RecordBatch.from_arrays(arrays, [*columns, *names])
+            return {text: pa.array(texts, pa.string())} | {n: pa.array([sum(f[2] == n[4:] for f in own) for own in found], pa.int32()) for n in names}
+
+        return run
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in columns]).schema] + [f"{n} int" for n in names]
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, ", ".join(fields))
+    return _io.beside(docs, text, start, {text: "string"} | dict.fromkeys(names, "int"), [*(c for c in docs.columns if c not in names), *names])
 
 
 def op2_pii(spark, sf_dir: str, key: bytes = DEMO_KEY) -> DataFrame:
