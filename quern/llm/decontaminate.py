@@ -10,13 +10,15 @@ joins documents' shingles with the windows' prefixes; positional and length
 bounds drop candidates that would begin before or end after the document, and
 the words themselves, as bytes, verify the rest.
 
-Windows go to the workers in blocks of at most ``MAX_BLOCK`` bytes of text; a
-benchmark of more is joined block by block over all documents and the hits are
-merged, so nothing that grows is broadcast whole.
+Windows go to the workers in blocks of some ``MAX_BLOCK`` bytes of text, as
+arrays of about ten times as many bytes; a benchmark of more is joined block
+by block over all documents and the hits are merged, so nothing that grows is
+broadcast whole. An item is in one block.
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond
 ASCII. Null and empty texts have no words; documents without hits are returned
-too. Benchmark rows of null text or id have no windows; repeated ones count once.
+too, and so is each of repeated rows. Benchmark rows of null text or id have no
+windows; repeated ones count once. Empty tables give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -29,10 +31,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import _io
-from quern.llm._text import ALNUM, LOWER, blocks, doc_of, hashes, shingles, words
+from quern.llm._text import ALNUM, LOWER, blocks, doc_of, equal, hashes, shingles, words
 
-#: Bytes of benchmark text that workers hold at once.
-MAX_BLOCK = 16 << 20
+#: Bytes of benchmark text that workers hold the windows of at once.
+MAX_BLOCK = 4 << 20
+
+
+@dataclass
+class Words:
+    """The words of a block's items, joined by single spaces, and its windows before they are told apart."""
+
+    data: np.ndarray
+    starts: np.ndarray  # of words
+    ends: np.ndarray
+    hashed: np.ndarray  # of words
+    at: np.ndarray  # first word of each window
+    lengths: np.ndarray  # words of each window
+    item: np.ndarray  # its place among names
+    names: pa.Array
 
 
 @dataclass
@@ -43,38 +59,54 @@ class Windows:
     prefix: np.ndarray  # hash of each window's prefix, ascending
     offset: np.ndarray  # place of the prefix in its window
     width: np.ndarray  # words of the prefix shingle
-    text: list[bytes]  # words joined by a space
-    items: list[list[str]]
+    data: bytes
+    first: np.ndarray  # where its words begin and end in data
+    end: np.ndarray
+    items: np.ndarray  # places among names, those of entry i from ranges[i] to ranges[i + 1]
+    ranges: np.ndarray
+    names: pa.Array
     sieve: np.ndarray  # by the low bits of a hash: may it be a prefix
 
 
-def _grams(text: str | None) -> list[bytes]:
-    data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    starts, ends, _ = words(data, np.array([0, len(data)]), ALNUM)
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-
-def _windows(items: list[tuple[str, str]], window: int) -> dict[tuple[bytes, ...], set[str]]:
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in items:
-        own = _grams(text)
-        for i in range(max(1, len(own) - window + 1) if own else 0):
-            found.setdefault(tuple(own[i : i + window]), set()).add(item)
-    return found
-
-
-def _word_hashes(own: tuple[bytes, ...]) -> np.ndarray:
-    ends = np.cumsum([len(w) for w in own])
-    return hashes(np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
-
-
-def _shingles(found, shingle: int) -> list[tuple[int, np.ndarray]]:
-    return [(min(shingle, len(w)), shingles(_word_hashes(w), min(shingle, len(w)))) for w in found]
+def _read(names: pa.Array, texts: pa.Array, window: int) -> Words:
+    parts, starts, ends, counts, base = [], [], [], [], 0
+    for _, _, data, offsets in blocks(texts):
+        data = LOWER[data]
+        first, last, ranges = words(data, offsets, ALNUM)
+        size = last - first
+        begin = base + np.cumsum(size + 1) - size - 1
+        joined = np.full(int((size + 1).sum()), 0x20, np.uint8)
+        where = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        joined[np.repeat(begin - base, size) + where] = data[np.repeat(first, size) + where]
+        parts.append(joined)
+        starts.append(begin)
+        ends.append(begin + size)
+        counts.append(np.diff(ranges))
+        base += len(joined)
+    none = np.zeros(0, np.int64)
+    data, starts, ends, counts = np.concatenate([np.zeros(0, np.uint8), *parts]), np.concatenate([none, *starts]), np.concatenate([none, *ends]), np.concatenate([none, *counts])
+    many = np.where(counts > 0, np.maximum(counts - window + 1, 1), 0)
+    item = np.repeat(np.arange(len(counts)), many)
+    at = np.repeat(np.cumsum(counts) - counts, many) + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+    return Words(data, starts, ends, hashes(data, starts, ends), at, np.minimum(counts, window)[item], item, names)
+
+
+def _keys(block: Words, shingle: int) -> tuple[np.ndarray, list[int]]:
+    """(ascending hashes of all shingles of windows, their widths)."""
+    widths = sorted(set(np.minimum(block.lengths, shingle).tolist()))
+    found = [np.zeros(0, np.uint64)]
+    for width in widths:
+        every = shingles(block.hashed, width)
+        own = np.minimum(block.lengths, shingle) == width
+        used = np.zeros(len(block.hashed) + 1, np.int64)
+        np.add.at(used, block.at[own], 1)
+        np.add.at(used, block.at[own] + block.lengths[own] - width + 1, -1)
+        found.append(every[np.flatnonzero(np.cumsum(used)[: len(every)])])
+    return np.unique(np.concatenate(found)), widths
 
 
 def _sieve(keys: np.ndarray) -> np.ndarray:
-    bits = max(16, int(len(keys) * 16).bit_length())
+    bits = max(16, int(len(keys) * 8).bit_length())
     out = np.zeros(1 << bits, bool)
     out[(keys & np.uint64(len(out) - 1)).astype(np.int64)] = True
     return out
@@ -89,14 +121,30 @@ def _find(keys: np.ndarray, sieve: np.ndarray, hashed: np.ndarray) -> tuple[np.n
     return at[ok], place[ok]
 
 
-def _arrange(found, per_window, counts: dict[int, int]) -> Windows:
-    rows = []
-    for own, (width, hashed) in zip(found, per_window, strict=True):
-        rarest = min(range(len(hashed)), key=lambda i: (counts.get(int(hashed[i]), 0), int(hashed[i])))
-        rows.append((int(hashed[rarest]), rarest, width, own))
-    rows.sort(key=lambda r: (r[0], r[1], r[3]))
-    prefix = np.array([r[0] for r in rows], np.uint64)
-    return Windows(np.array([len(r[3]) for r in rows]), prefix, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [b" ".join(r[3]) for r in rows], [sorted(found[r[3]]) for r in rows], _sieve(prefix))
+def _arrange(block: Words, shingle: int, keys: np.ndarray, counts: np.ndarray) -> Windows:
+    """Windows with their prefixes: of each the shingle that fewest documents hold, of these the least hash."""
+    n = len(block.at)
+    prefix, offset, whole = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.uint64)
+    for length in sorted(set(block.lengths.tolist())):
+        rows, width = np.flatnonzero(block.lengths == length), min(shingle, length)
+        every = shingles(block.hashed, width)
+        held = counts[np.minimum(np.searchsorted(keys, every), len(keys) - 1)]
+        best = block.at[rows]
+        for j in range(1, length - width + 1):
+            other = block.at[rows] + j
+            better = (held[other] < held[best]) | ((held[other] == held[best]) & (every[other] < every[best]))
+            best = np.where(better, other, best)
+        prefix[rows], offset[rows], whole[rows] = every[best], best - block.at[rows], shingles(block.hashed, length)[block.at[rows]]
+    first, end = block.starts[block.at], block.ends[block.at + block.lengths - 1]
+    order = np.lexsort((block.item, whole, offset, block.lengths, prefix))
+    i, j = order[:-1], order[1:]
+    same = (whole[i] == whole[j]) & (prefix[i] == prefix[j]) & (offset[i] == offset[j]) & (block.lengths[i] == block.lengths[j])
+    if not equal(block.data, first, end, i[same], j[same]):  # equal hashes of unequal windows: entries are then not shared
+        same[:] = False
+    new = np.flatnonzero(np.concatenate([np.ones(min(n, 1), bool), ~same]))
+    entry = order[new]
+    small = lambda x: x.astype(np.int32)
+    return Windows(small(block.lengths[entry]), prefix[entry], small(offset[entry]), small(np.minimum(block.lengths[entry], shingle)), block.data.tobytes(), first[entry], end[entry], small(block.item[order]), np.append(new, n), block.names, _sieve(prefix[entry]))
 
 
 def _blocks(column):
@@ -144,16 +192,16 @@ def _hits(docs: DataFrame, block: Windows, text: str | None) -> DataFrame:
                     ok = (first >= ranges[own[at]]) & (last < ranges[own[at] + 1]) & (block.width[place] == width)
                     for f, l, p in zip(first[ok].tolist(), last[ok].tolist(), place[ok].tolist(), strict=True):
                         raw = data.tobytes() if raw is None else raw
-                        if b" ".join([raw[starts[i] : ends[i]] for i in range(f, l + 1)]) == block.text[p]:
+                        if b" ".join([raw[starts[i] : ends[i]] for i in range(f, l + 1)]) == block.data[block.first[p] : block.end[p]]:
                             d = int(own[f])
-                            spots, names = found.setdefault(d, ([], set()))
+                            spots, places = found.setdefault(d, ([], set()))
                             spots.append((f - int(ranges[d]), l + 1 - int(ranges[d])))
-                            names.update(block.items[p])
+                            places.update(block.items[block.ranges[p] : block.ranges[p + 1]].tolist())
                     again = (place + 1 < len(block.prefix)) & (block.prefix[np.minimum(place + 1, len(block.prefix) - 1)] == block.prefix[place])
                     at, place = at[again], place[again] + 1
             counts += np.diff(ranges).tolist()
             spans += [merged(found[d][0]) if d in found else [] for d in range(hi - lo)]
-            items += [sorted(found[d][1]) if d in found else [] for d in range(hi - lo)]
+            items += [sorted({block.names[i].as_py() for i in found[d][1]}) if d in found else [] for d in range(hi - lo)]
         span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
         return {"_row": batch.column("_row"), "row": batch.column("row"), "n_words": pa.array(counts, pa.int64()), "spans": pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], span), "items": pa.array(items, pa.list_(pa.string()))}
 
@@ -186,14 +234,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: i
         source = source.withColumn("row", F.lit(0).cast("long"))
     results = []
     for i in range(n):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i) if n > 1 else items
-        found = _windows([(r["item"], r["text"]) for r in part.toLocalIterator()], window)
-        per_window = _shingles(found, shingle)
-        keys = np.unique(np.concatenate([h for _, h in per_window])) if per_window else np.zeros(0, np.uint64)
-        widths = sorted({w for w, _ in per_window})
-        # no more counts than the block has shingles
-        counts = {r["h"] & (1 << 64) - 1: r["n"] for r in _counted(plain, keys, widths).toLocalIterator()} if len(keys) else {}
-        results.append(_hits(source, _arrange(found, per_window, counts), None if keep is not None else text))
+        part = (items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i) if n > 1 else items).toArrow()
+        block = _read(part.column("item").combine_chunks(), part.column("text").combine_chunks(), window)
+        keys, widths = _keys(block, shingle)
+        counts = np.zeros(max(len(keys), 1), np.int64)
+        if len(keys):
+            counted = _counted(plain, keys, widths).toArrow()  # no more rows than the block has shingles
+            counts[np.searchsorted(keys, counted.column("h").to_numpy().view(np.uint64))] = counted.column("n").to_numpy()
+        results.append(_hits(source, _arrange(block, shingle, keys, counts), None if keep is not None else text))
     if n == 1:
         return results[0].drop("row")
     whole = results[0]

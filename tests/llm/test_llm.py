@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pickle
 import random
 import re
 
@@ -485,3 +486,28 @@ def test_pipeline_on_no_documents(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_decontamination_query_and_the_size_of_blocks(spark, sf):
+    docs = {r["doc_id"]: grams(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    windows = collections.defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = grams(r["text"])
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[k : k + 10])].add(str(r["item_id"]))
+    lengths = {len(w) for w in windows}
+    for r in QUERIES["op6_decontaminate"](spark, sf).collect():
+        w, hit, named = docs[r["doc_id"]], set(), set()
+        for n in lengths:
+            for k in range(len(w) - n + 1):
+                if (own := windows.get(tuple(w[k : k + n]))) is not None:
+                    hit |= set(range(k, k + n))
+                    named |= own
+        digest = hashlib.sha256(",".join(sorted(named)).encode()).hexdigest()
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (len(w), len(hit), len(named), digest, bool(hit))
+    r = random.Random(0)
+    texts_ = [" ".join(f"w{r.randrange(9000)}" for _ in range(300)) for _ in range(1500)]
+    block = decontaminate._read(pa.array([str(i) for i in range(1500)]), pa.array(texts_), 10)
+    keys, _ = decontaminate._keys(block, 5)
+    held = len(pickle.dumps(decontaminate._arrange(block, 5, keys, np.zeros(len(keys), np.int64))))
+    assert held < 12 * sum(map(len, texts_))
