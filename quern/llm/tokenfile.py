@@ -4,13 +4,20 @@ A dataset is a folder of parts ``NNNNN.bin``, unsigned little-endian integers
 of 2 or 4 bytes one after another, and ``NNNNN.idx``, unsigned 64-bit pairs of
 document id and end offset within the part. Parts ascend by document id; the
 bases of their offsets are prefix sums of the parts' lengths, one number a
-part. Files are written under another name and renamed, so that a task run
-twice leaves the same whole file, and read by memory maps.
-
-The folder lies in the shared folder of the session and must be one that
-workers can open as a path, or by pyarrow's file systems (then ranges are read
-instead of mapped). Nulls and empty texts give only the end id. Rows with equal
-document ids are kept, in the order of their texts.
+part. Parts are cut by bytes of text: these are summed up in the order of the
+ids, first within ranges of them and then over the ranges, so that neither long
+documents in a row nor one id of very many rows make a large part. There are at
+most ``MAX_PARTS``, so what the driver gets and the workers are sent is bounded;
+parts are larger instead, and are written as a stream.
+
+Files are written under another name and renamed, so that a task run twice
+leaves the same whole file, and read by memory maps. The folder lies in the
+shared folder of the session and must be one that workers can open as a path,
+or by pyarrow's file systems (then ranges are read instead of mapped).
+
+Nulls and empty texts give only the end id. Rows without an id come first; rows
+of equal ids are kept, in the order of the hashes of their texts, and so are
+repeated rows. An empty table gives no parts.
 """
 
 from __future__ import annotations
@@ -18,21 +25,21 @@ from __future__ import annotations
 import bisect
 import json
 import os
-import tempfile
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import _io
 from quern.llm._memo import Memo
 
-#: Bytes of text that a part is planned to hold.
-PART_BYTES = 32 << 20
+#: Bytes of text that a part is planned to hold, and parts at most.
+PART_BYTES, MAX_PARTS = 32 << 20, 1 << 16
 #: Chunks and pre-tokens that each generation of a worker's memories holds (about 130 MB in all).
 CHUNKS, PIECES = 200_000, 150_000
 
@@ -123,24 +130,35 @@ def _open(uri: str, mode: str):
     return system.open_input_file(path).read_buffer()
 
 
-def put(folder: str, name: str, data: bytes) -> None:
-    """Writes a file whole or not at all."""
-    if folder.startswith("file:") or "://" not in folder:
-        folder = folder.removeprefix("file://")
-        os.makedirs(folder, exist_ok=True)
-        handle, own = tempfile.mkstemp(dir=folder, prefix=f".{name}.")
-        with os.fdopen(handle, "wb") as f:
-            f.write(data)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(own, f"{folder}/{name}")
-        return
-    system, path = _open(folder, "w")
-    system.create_dir(path, recursive=True)
-    own = f"{path}/.{name}.{os.urandom(8).hex()}"
-    with system.open_output_stream(own) as f:
-        f.write(data)
-    system.move(own, f"{path}/{name}")
+class Writer:
+    """A file that is there whole or not at all: written under a name of its own, then renamed."""
+
+    def __init__(self, folder: str, name: str):
+        own = f".{name}.{os.urandom(8).hex()}"
+        self.system = None
+        if folder.startswith("file:") or "://" not in folder:
+            folder = folder.removeprefix("file://")
+            os.makedirs(folder, exist_ok=True)
+            self.own, self.name = f"{folder}/{own}", f"{folder}/{name}"
+            self.file = open(self.own, "wb")  # noqa: SIM115
+        else:
+            self.system, path = _open(folder, "w")
+            self.system.create_dir(path, recursive=True)
+            self.own, self.name = f"{path}/{own}", f"{path}/{name}"
+            self.file = self.system.open_output_stream(self.own)
+
+    def write(self, data: bytes) -> None:
+        self.file.write(data)
+
+    def close(self) -> None:
+        if self.system:
+            self.file.close()
+            self.system.move(self.own, self.name)
+        else:
+            self.file.flush()
+            os.fsync(self.file.fileno())
+            self.file.close()
+            os.replace(self.own, self.name)
 
 
 def mapped(folder: str, name: str, dtype: str) -> np.ndarray:
@@ -151,31 +169,73 @@ def mapped(folder: str, name: str, dtype: str) -> np.ndarray:
     return np.frombuffer(_open(f"{folder}/{name}", "r"), dtype)
 
 
+Key = tuple[bool, int, int]
+
+
+def _key(doc_id: int | None, tie: int) -> Key:
+    return doc_id is not None, doc_id or 0, tie
+
+
+def cuts(docs: DataFrame) -> list[Key]:
+    """First rows of the parts after the first, of docs (doc_id, tie, text)."""
+    sized = docs.select("doc_id", "tie", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"))
+    ranges = _io.checkpoint(sized.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie"))
+
+    def total(batches):
+        n = sum(int(b.column("size").to_numpy().sum()) for b in batches)
+        yield pa.RecordBatch.from_pydict({"range": pa.array([TaskContext.get().partitionId()], pa.int32()), "size": pa.array([n], pa.int64())})
+
+    sums = {r["range"]: r["size"] for r in ranges.mapInArrow(total, "range int, size long").collect()}  # a row a partition
+    part = max(PART_BYTES, -(-sum(sums.values()) // MAX_PARTS))
+    base, bases = 0, {}
+    for k in sorted(sums):
+        bases[k], base = base, base + sums[k]
+
+    def firsts(batches):
+        at = bases[TaskContext.get().partitionId()]
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            begin = at + np.cumsum(size) - size
+            # a row within which a multiple of a part's bytes lies begins a part
+            new = np.flatnonzero((begin > 0) & ((begin + size - 1) // part != (begin - 1) // part))
+            yield batch.take(pa.array(new)).select(["doc_id", "tie"])
+            at += int(size.sum())
+
+    rows = ranges.mapInArrow(firsts, "doc_id long, tie long").collect()  # less than a row a part
+    return sorted(_key(r["doc_id"], r["tie"]) for r in rows)
+
+
 def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None, doc_id: str = "doc_id", text: str = "text") -> list[tuple[int, int, int]]:
     """Encodes docs into folder; gives (part, base, ids) of each part in ascending order.
 
-    Cuts between parts are quantiles of the document ids, found on that column
-    alone, so the texts cross the network once.
+    Cuts between parts are found without the texts, which cross the network once, as ids.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
-    cuts = sorted({int(x) for x in docs.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
+    value = F.col(f"`{text}`").cast("string")
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(value, F.lit(""))).alias("tie"), value.alias("text"))
+    known = cuts(docs)
     width = encoder(path).width
 
-    def encode(batch: pa.RecordBatch) -> dict:
-        e = encoder(path)
+    def encode(batches):
+        e, turn = encoder(path), TaskContext.get().partitionId()
         tail = b"" if end_id is None else np.array([end_id], f"<u{width}").tobytes()
-        ids = [e.encode(x.as_py() or "") + tail for x in batch.column("text")]
-        part = [0 if x is None else bisect.bisect_left(cuts, x) for x in batch.column("doc_id").to_pylist()]
-        return {"part": pa.array(part, pa.int32()), "doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary())}
+        for batch in batches:
+            ids, part = [e.encode(x.as_py() or "") + tail for x in batch.column("text")], []
+            for d, tie in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), strict=True):
+                low, high = bisect.bisect_left(known, _key(d, tie)), bisect.bisect_right(known, _key(d, tie))
+                if high - low > 1:  # a row of which there are several parts: any of them will do
+                    turn += 1
+                    high = low + turn % (high - low + 1)
+                part.append(high)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "doc_id": batch.column("doc_id"), "tie": batch.column("tie"), "ids": pa.array(ids, pa.binary())})
 
     def store(batches):
-        part, docs_, ends, data, at = None, [], [], [], 0
+        part, out, docs_, ends, at = None, None, [], [], 0
 
         def close():
-            put(folder, f"{part:05d}.bin", b"".join(data))
-            put(folder, f"{part:05d}.idx", np.array([docs_, ends], "<i8").T.tobytes())
+            out.close()
+            index = Writer(folder, f"{part:05d}.idx")
+            index.write(np.array([docs_, ends], "<i8").T.tobytes())
+            index.close()
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_ids": pa.array([at], pa.int64())})
 
         for batch in batches:
@@ -183,17 +243,18 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None, do
                 if p != part:
                     if part is not None:
                         yield close()
-                    part, docs_, ends, data, at = p, [], [], [], 0
+                    part, out, docs_, ends, at = p, Writer(folder, f"{p:05d}.bin"), [], [], 0
                 raw = ids.as_py()
                 at += len(raw) // width
-                data.append(raw)
+                out.write(raw)
                 docs_.append(d if d is not None else -(1 << 63))
                 ends.append(at)
         if part is not None:
             yield close()
 
-    encoded = _io.arrow(docs, encode, "part int, doc_id long, ids binary")
-    spread = encoded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
+    _io.small_batches(docs.sparkSession)
+    encoded = docs.mapInArrow(encode, "part int, doc_id long, tie long, ids binary")
+    spread = encoded.repartitionById(len(known) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "tie", "ids")
     rows = sorted({tuple(r) for r in spread.mapInArrow(store, "part int, n_ids long").collect()})  # a row a part
     base, out = 0, []
     for part, n in rows:

@@ -97,6 +97,33 @@ def test_token_files(spark, sf, tmp_path, monkeypatch):
     assert tokenfile.write(frame(spark, rows).limit(0), path, f"file://{tmp_path}/none") == []
 
 
+def test_token_files_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile, "PART_BYTES", 4000)
+    r = random.Random(2)
+    long = lambda n: " ".join(r.choice(["the", "of", "and", "word"]) for _ in range(n))
+    same = long(60)
+    # a wide range of ids with long texts in a few of them, rows without an id, one id of many texts, one row many times
+    rows = [(i * 10**12, long(2)) for i in range(50)] + [(10**12 + i, long(900)) for i in range(30)] + [(None, long(80)) for _ in range(60)]
+    rows += [(7 * 10**12, long(70)) for _ in range(80)] + [(9 * 10**12, same)] * 100 + [(3, None), (4, "")]
+    path = P.path("word_bpe_49k.json")
+    e = tokenfile.encoder(path)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.lit("x")).withColumn("a.b", F.lit(1)).repartition(6)
+    parts = tokenfile.write(docs, path, f"file://{tmp_path}", end_id=1)
+    sizes = [n for _, _, n in parts]
+    assert len(parts) > 20 and max(sizes) < 4 * sum(sizes) / len(sizes)
+    found = tokenfile.read(spark, f"file://{tmp_path}", parts, e.width).orderBy("start").collect()
+    ids = [x["doc_id"] for x in found]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d)) and len(found) == len(rows)
+    at = 0
+    for x in found:
+        assert x["start"] == at and x["n_tokens"] == len(x["token_ids"])
+        at += x["n_tokens"]
+    want = collections.Counter((d, tuple(e.model.encode(t or "", add_special_tokens=False).ids + [1])) for d, t in rows)
+    assert collections.Counter((x["doc_id"], tuple(x["token_ids"])) for x in found) == want
+    monkeypatch.setattr(tokenfile, "MAX_PARTS", 3)
+    assert len(tokenfile.write(docs, path, f"file://{tmp_path}/few")) <= 4
+
+
 # --- statistics, rules, classifier ----------------------------------------------
 
 
