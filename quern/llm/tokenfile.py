@@ -25,7 +25,9 @@ from __future__ import annotations
 import bisect
 import json
 import os
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -40,8 +42,8 @@ from quern.llm._memo import Memo
 
 #: Bytes of text that a part is planned to hold, and parts at most.
 PART_BYTES, MAX_PARTS = 32 << 20, 1 << 16
-#: Chunks and pre-tokens that each generation of a worker's memories holds (about 130 MB in all).
-CHUNKS, PIECES = 200_000, 150_000
+#: Chunks and pre-tokens that each generation of a worker's memories holds (about 170 MB in all).
+CHUNKS, PIECES = 400_000, 50_000
 
 
 class WordEncoder:
@@ -85,7 +87,10 @@ class WordEncoder:
         return self.packed(self.model.encode(text, add_special_tokens=False).ids)
 
     def packed(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+        packed = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder != "little":
+            packed.byteswap()
+        return packed.tobytes()
 
     def piece(self, piece: str) -> bytes:
         """Ids of one pre-token by the library's model alone, without its steps before that."""
@@ -93,19 +98,18 @@ class WordEncoder:
         return self.packed([t.id for t in self.bpe.tokenize(shown)])
 
     def chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():
-            if "<|" in chunk:
-                return self.one(chunk)
-            normal = chunk.lower()
-            # letters alone, or with one more character after them, need no pattern
-            if normal.isalpha():
-                return self.pieces[normal]
-            if normal[-1:] in ",.;:!?)" and normal[:-1].isalpha():
-                return self.pieces[normal[:-1]] + self.pieces[normal[-1]]
-        elif "<|" in chunk:
+        if "<|" in chunk:
             return self.one(chunk)
+        if chunk.isascii() or max(chunk) <= "\xff":  # characters that have one form, and a lower-case one
+            normal = chunk.lower()
         elif self.normal(normal := self.normal(chunk)) != normal:
             return self.one(chunk)
+        # letters alone, or with one more character after them, need no pattern
+        if normal.isascii():
+            if normal.isalpha():
+                return self.piece(normal) if normal == chunk else self.chunks[normal]
+            if normal[-1:] in ",.;:!?)" and normal[:-1].isalpha():
+                return self.chunks[normal[:-1]] + self.pieces[normal[-1]]
         return b"".join(map(self.pieces.__getitem__, self.split(normal)))
 
     def encode(self, text: str) -> bytes:
