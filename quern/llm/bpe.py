@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from quern.llm import _io
 from quern.llm._memo import Memo, chunk_text, chunks
 
-#: Chunks and pre-tokens that each generation of a worker's memories holds (about 130 MB in all).
-CHUNKS, PIECES = 200_000, 150_000
+#: Chunks and pre-tokens that each generation of a worker's memories holds (about 150 MB in all).
+CHUNKS, PIECES = 300_000, 50_000
 _MASK = (1 << 64) - 1
 
 
@@ -86,28 +86,35 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token by successive merges of the pair of lowest rank."""
-    n = len(piece)
-    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    """Ids of one pre-token by successive merges of the pair of lowest rank, of these the leftmost.
+
+    A node is a range of bytes; end has the byte after the node that begins at
+    a place, which is where the next one begins, and 0 where none begins. An
+    entry of the heap is one integer of rank, node and the pair's end.
+    """
+    n, rank = len(piece), ranks.get
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    shift = n.bit_length()
+    double, mask = 2 * shift, (1 << shift) - 1
+    heap = [r << double | i << shift | i + 2 for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, stop = heapq.heappop(heap)
-        right = after[i] if end[i] else n
-        if right >= n or end[right] != stop:
+        entry = heapq.heappop(heap)
+        i, stop = entry >> shift & mask, entry & mask
+        right = end[i]
+        if not right or right >= n or end[right] != stop:
             continue
-        end[i], after[i] = stop, after[right]
-        end[right] = 0
-        if after[i] < n:
-            before[after[i]] = i
-            if (r := ranks.get(piece[i : end[after[i]]])) is not None:
-                heapq.heappush(heap, (r, i, end[after[i]]))
-        if (left := before[i]) >= 0 and (r := ranks.get(piece[left:stop])) is not None:
-            heapq.heappush(heap, (r, left, stop))
+        end[i], end[right] = stop, 0
+        if stop < n:
+            before[stop] = i
+            if (r := rank(piece[i : end[stop]])) is not None:
+                heapq.heappush(heap, r << double | i << shift | end[stop])
+        if (left := before[i]) >= 0 and (r := rank(piece[left:stop])) is not None:
+            heapq.heappush(heap, r << double | left << shift | stop)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
-        i = after[i]
+        i = end[i]
     return out
 
 
@@ -128,12 +135,22 @@ class Codec:
         #: Only the known pattern is known to be cut safely at single spaces and newlines.
         self.cuts = pattern.endswith(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.pieces = Memo(self.lookup, PIECES)
-        self.chunks = Memo(lambda c: b"".join(map(self.pieces.__getitem__, self.split(chunk_text(c)))), CHUNKS)
+        self.chunks = Memo(self.chunk, CHUNKS)
 
     def lookup(self, piece: str) -> bytes:
         raw = piece.encode()
         at = self.hash.find(raw)
-        return np.array([self.id_at[at]] if at >= 0 else merge(raw, self.ranks), "<u4").tobytes()
+        return self.id_at[at].to_bytes(4, "little") if at >= 0 else b"".join([i.to_bytes(4, "little") for i in merge(raw, self.ranks)])
+
+    def chunk(self, chunk: str) -> bytes:
+        text = chunk_text(chunk)
+        if text and max(text) <= "\xff":  # letters after a space, alone or with one more mark, are one pre-token and the mark's
+            word = text[text[0] == " " :]
+            if word.isalpha():
+                return self.lookup(text)
+            if word[-1:] in ",.;:!?" and word[:-1].isalpha():
+                return self.chunks[chunk[:-1]] + self.pieces[word[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> bytes:
         if self.cuts and (parts := chunks(text)) is not None:
