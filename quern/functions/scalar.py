@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-# Words that carry no topic in keyword queries.
-STOP_WORDS = "a about above after all am an and any are as at be been before both but by did do does for from had has have how if in into is it its no not of on or our out over so that the their them they this to under up was we were what when where which who why with you your".split()
+# Words that carry no topic in keyword queries. Which documents match a query depends on them.
+STOP_WORDS = """
+a an the and or but if so of in on at to for by with from as is are was were be been do does did have has had not no we i you it he she they this that
+these those what which who whom how when where why about into our your their its my me us them any all
+""".split()
 
 # --- text ---------------------------------------------------------------
 
@@ -58,10 +61,14 @@ def words(text: Column) -> Column:
 
 
 def keyword_terms(query: str, most: int = 8) -> list[str]:
-    """Distinct terms of two and more characters without stop words, the longest ones first kept, in order of the query."""
-    found = [w for w in dict.fromkeys(re.findall(r"[^\W_]+", query.lower())) if len(w) >= 2 and w not in STOP_WORDS]
-    kept = set(sorted(found, key=lambda w: (-len(w), found.index(w)))[:most])
-    return [w for w in found if w in kept]
+    """Distinct words of two and more characters that aren't stop words, the longest ones where there are more than most.
+
+    A query of other words only is taken by all of its words, one without words as a whole; a blank one has none.
+    """
+    plain = query.lower().strip()
+    found = list(dict.fromkeys(re.findall(r"[^\W_]+", plain))) or [plain] * bool(plain)
+    kept = [w for w in found if len(w) >= 2 and w not in STOP_WORDS] or found
+    return kept if len(kept) <= most else sorted(kept, key=len, reverse=True)[:most]
 
 
 def light_stem(word: Column) -> Column:

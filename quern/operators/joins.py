@@ -128,19 +128,28 @@ def spellings(values: DataFrame, column: str, aliases: DataFrame, given: Sequenc
 # Extensions beyond the chain: joins that Spark has or that are composed
 
 
-def as_of_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: Sequence[str]) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: Sequence[str], width: float = 86_400) -> DataFrame:
     """Each left row with the latest right row of its key at or before it.
 
-    One union and one window over the key: no pair of rows is ever built. Rows
-    of one key and time on the right are ordered by their columns.
+    No pair of rows is ever built. Rows of a key are cut by days (numbers by
+    ``width``): a window over key and day finds the latest row of the day, and
+    one over the days' last rows what is carried into a day, so a key of very
+    many rows is spread. Rows of one key and time on the right are ordered by
+    their columns.
     """
-    names = [F.col(c) for c in columns]
-    value = F.struct(*names)
+    kind = left.schema[left_time].dataType.typeName()
+    cell = F.floor(F.col("_t") / width) if kind not in ("timestamp", "timestamp_ntz", "date") else F.to_date("_t")
+    value = F.struct(*[F.col(c) for c in columns])
     first = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_v"))
     second = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("r")).schema["r"].dataType).alias("_row"), value.alias("_v"))
-    window = Window.partitionBy("_k").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    found = first.unionByName(second).withColumn("_found", F.last("_v", ignorenulls=True).over(window))
-    return found.where("_side = 1").select("_row.*", *[F.col("_found")[c].alias(c) for c in columns])
+    both = first.unionByName(second).withColumn("_cell", cell)
+    cells = both.groupBy("_k", "_cell").agg(F.max(F.when(F.col("_side") == 0, F.struct("_t", "_v"))).alias("_last"))
+    carried = Window.partitionBy("_k").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(F.col("_k").alias("_ck"), F.col("_cell").alias("_cc"), F.last("_last", ignorenulls=True).over(carried)["_v"].alias("_before"))
+    inside = Window.partitionBy("_k", "_cell").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_own", F.last("_v", ignorenulls=True).over(inside)).where("_side = 1")
+    found = found.join(cells, F.col("_k").eqNullSafe(F.col("_ck")) & F.col("_cell").eqNullSafe(F.col("_cc")), "left").withColumn("_found", F.coalesce("_own", "_before"))
+    return found.select("_row.*", *[F.col("_found")[c].alias(c) for c in columns])
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:

@@ -24,7 +24,7 @@ def select_links(neighbours: DataFrame, k: int = PER_NODE, min_sim: float = MIN_
 def link_vectors(vectors: DataFrame, k: int = PER_NODE, min_sim: float = MIN_SIM, new: DataFrame | None = None, id_column: str = "id", vector: str = "embedding") -> DataFrame:
     """Links of all vectors, or of the new ones with all: exact search, new vectors in blocks against every vector."""
     asked = (vectors if new is None else new).withColumnRenamed(id_column, "query")
-    found = knn(vectors, asked, k, id_column, vector, exclude_self=True)
+    found = knn(vectors, asked, k, id_column, vector, exclude_self=True, min_score=min_sim)
     return select_links(found, k, min_sim)
 
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.checkpoints import checkpoint
 from quern.functions.scalar import STOP_WORDS, char_windows, has_token, words
 
 K1, B = 1.2, 0.75
@@ -58,23 +59,25 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_column: str = "id", tex
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     # a document's length needs no stems
     length = F.size(F.filter(F.split(low, "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(list(STOP_WORDS))))
-    if named and len(named) <= MAX_PATTERN_TERMS:
-        # a term is the start of all words that it stands for: only these are cut out and stemmed
-        found = F.regexp_extract_all(low, F.lit("(?<![a-z0-9])(?:" + "|".join(named) + ")[a-z0-9]*"), F.lit(0))
-        source = docs.select(F.col(id_column).alias("id"), length.alias("dl"), found.alias("_f"))
-        hit = source.where(F.size("_f") > 0).select("id", "dl", F.explode(F.filter(terms(F.array_join("_f", " ")), lambda t: t.isin(named))).alias("term"))
+    if not named or len(named) > MAX_PATTERN_TERMS:
+        found = terms(F.col(text))
     else:
-        source = docs.select(F.col(id_column).alias("id"), length.alias("dl"), terms(F.col(text)).alias("_t"))
-        hit = source.select("id", "dl", F.explode("_t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+        # a term is the start of all words that it stands for: only these are cut out and stemmed
+        begun = F.regexp_extract_all(low, F.lit("(?<![a-z0-9])(?:" + "|".join(named) + ")[a-z0-9]*"), F.lit(0))
+        found = F.filter(terms(F.array_join(begun, " ")), lambda t: t.isin(named))
+    source = docs.select(F.col(id_column).alias("id"), length.alias("dl"), found.alias("_t"))
+    if named and len(named) <= MAX_PATTERN_TERMS:
+        source = checkpoint(source)  # texts are read once; what is kept of them is what the queries name
     totals = source.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    hit = source.where(F.size("_t") > 0).select("id", "dl", F.explode("_t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     posted = hit.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = posted.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))
+    weighed = posted.join(df, "term").crossJoin(F.broadcast(totals))  # one row
     if stop_share is not None:
         weighed = weighed.where(F.col("df") < stop_share * F.col("n"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = weighed.withColumn("part", part).join(F.broadcast(asked), "term").groupBy("query", "id").agg(F.sum("part").alias("raw"))
+    scored = weighed.withColumn("part", part).join(asked, "term").groupBy("query", "id").agg(F.sum("part").alias("raw"))
     return normalised(head(scored, k, score="raw"), "raw")
 
 
@@ -101,7 +104,12 @@ def short_token_search(docs: DataFrame, tokens: Sequence[str], k: int, id_column
 
 
 def keyword_rank(nodes: DataFrame, query_terms: Sequence[str], k: int, label: str = "label", content: str = "content", tags: str = "tags", updated: str = "updated_at", scan_cap: int | None = None) -> DataFrame:
-    """Nodes in which every term occurs: 4 a term in the label, 2 in the content, 1 in the tags, 1 for the whole phrase."""
+    """Nodes in which every term occurs: 4 a term in the label, 2 in the content, 1 in the tags, 1 for the whole phrase.
+
+    Without terms no node is found.
+    """
+    if not query_terms:
+        return nodes.limit(0).withColumn("score", F.lit(0))
     rows = nodes if scan_cap is None else nodes.orderBy(F.col(updated).desc(), "id").limit(scan_cap)
     low = {c: F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in (label, content)} | {tags: F.lower(F.array_join(F.coalesce(F.col(tags), F.array().cast("array<string>")), " "))}
     score: Column = F.lit(0)
@@ -115,8 +123,8 @@ def keyword_rank(nodes: DataFrame, query_terms: Sequence[str], k: int, label: st
     return rows.withColumn("score", score).orderBy(F.col("score").desc(), F.col(updated).desc(), "id").limit(k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "id", vector: str = "embedding", query_id: str = "query", exclude_self: bool = False, max_queries: int = 4096) -> DataFrame:
-    """query, id, score, rank: exact cosine neighbours.
+def knn(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "id", vector: str = "embedding", query_id: str = "query", exclude_self: bool = False, max_queries: int = 4096, min_score: float | None = None) -> DataFrame:
+    """query, id, score, rank: exact cosine neighbours, of at least a score if one is given.
 
     Queries go to the workers in blocks of at most ``max_queries``, and each
     batch of vectors is one matrix product a block; a batch passes on its best k
@@ -157,7 +165,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "id", v
                 best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, : min(k, len(here))]]
                 q = np.repeat(np.arange(len(ids)), best.shape[1])
                 j = best.ravel()
-                ok = np.isfinite(scores[q, j])
+                ok = np.isfinite(scores[q, j]) & (min_score is None or scores[q, j] >= min_score)
                 yield pa.RecordBatch.from_pydict({"query": pa.array([ids[a] for a in q[ok]], type=_arrow(kind)), "id": pa.array([here[b] for b in j[ok]], type=_arrow(own)), "score": scores[q, j][ok]})
 
         return vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("v")).mapInArrow(run, f"query {kind}, id {own}, score double")

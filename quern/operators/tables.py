@@ -1,14 +1,18 @@
 """Typed tables in a folder of Parquet, with versions swapped whole.
 
-A table is a folder of versions (v000001, ...) and a pointer file _current that
-names one. A write stages a new version and then writes the pointer by rename,
-so readers see all of a change or none, and a lost job leaves the old version.
+A table is a folder of data and of commits (00000001, ...), each a file that
+names the schema and the data of a version. A write stages its data and then
+creates the commit after the one that it began from, with its content at once
+and only if there is none: readers see all of a change or none, a lost job
+leaves the old version, and of two writers that began from the same version one
+is refused and may try again.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict
 from functools import reduce
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 from quern.operators import paging
 from quern.operators.filters import compile_filter, guard
 from quern.operators.linking import fingerprint
+from quern.sources.folders import Folder
 from quern.types import KINDS, ColumnSpec, TableError, TableSchema
 
 MAX_OPS, MAX_BULK, MAX_BULK_BYTES = 100, 1000, 16 << 20
@@ -122,59 +127,49 @@ def plan_copy(source: DataFrame, target: DataFrame | None, key: str) -> DataFram
 
 
 class Store:
-    """Typed tables under a folder that the driver and the executors share."""
+    """Typed tables under a folder, of any file system, that the driver and the executors share."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.removeprefix("file://")
-        os.makedirs(self.folder, exist_ok=True)
+        self.spark, self.folder = spark, Folder(spark, folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
 
-    def _path(self, name: str, *more: str) -> str:
-        return os.path.join(self.folder, name, *more)
+    def version(self, name: str) -> int:
+        """The current version, 0 where there is no such table."""
+        return max((int(n) for n in self.folder.names(f"{name}/commits") if n.isdigit()), default=0)
+
+    def _read_commit(self, name: str, version: int | None = None) -> tuple[int, TableSchema, str]:
+        version = self.version(name) if version is None else version
+        if not version:
+            raise TableError("unknown_table", name)
+        raw = json.loads(self.folder.read(f"{name}/commits/{version:08d}"))
+        return version, TableSchema(name, tuple(ColumnSpec(**c | {"extracted": tuple(map(tuple, c["extracted"]))}) for c in raw["columns"])), raw["data"]
 
     def schema(self, name: str) -> TableSchema:
-        try:
-            with open(self._path(name, "_schema.json")) as f:
-                raw = json.load(f)
-        except FileNotFoundError:
-            raise TableError("unknown_table", name) from None
-        return TableSchema(name, tuple(ColumnSpec(**c | {"extracted": tuple(map(tuple, c["extracted"]))}) for c in raw["columns"]))
+        return self._read_commit(name)[1]
 
     def create(self, schema: TableSchema) -> None:
         """Idempotent for the same shape, an error for another."""
-        if os.path.exists(self._path(schema.name, "_schema.json")):
-            if self.schema(schema.name).columns != schema.columns:
-                raise TableError("schema_conflict", schema.name)
-            return
-        os.makedirs(self._path(schema.name), exist_ok=True)
-        self._put_schema(schema)
-        self._commit(schema.name, self.spark.createDataFrame([], schema.struct()))
-
-    def _put(self, path: str, text: str) -> None:
-        with open(f"{path}.new", "w") as f:
-            f.write(text)
-        os.replace(f"{path}.new", path)
-
-    def _put_schema(self, schema: TableSchema) -> None:
-        self._put(self._path(schema.name, "_schema.json"), json.dumps({"columns": [asdict(c) for c in schema.columns]}))
-
-    def _version(self, name: str) -> int:
-        try:
-            with open(self._path(name, "_current")) as f:
-                return int(f.read())
-        except FileNotFoundError:
-            return 0
-
-    def _commit(self, name: str, rows: DataFrame) -> None:
-        version = self._version(name) + 1
-        rows.write.mode("overwrite").parquet(self._path(name, f"v{version:06d}"))
-        self._put(self._path(name, "_current"), str(version))
+        if not self.version(schema.name):
+            try:
+                return self._commit(0, schema, self.spark.createDataFrame([], schema.struct()))
+            except TableError as e:
+                if e.code != "write_conflict":
+                    raise
+        if self.schema(schema.name).columns != schema.columns:
+            raise TableError("schema_conflict", schema.name)
+
+    def _commit(self, base: int, schema: TableSchema, rows: DataFrame) -> None:
+        """Writes rows as the version after base."""
+        data = f"{schema.name}/data-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder.uri}/{data}")
+        if not self.folder.create(f"{schema.name}/commits/{base + 1:08d}", json.dumps({"columns": [asdict(c) for c in schema.columns], "data": data})):
+            raise TableError("write_conflict", f"{schema.name} has a version after {base}")
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        schema = self.schema(name)
-        return self.spark.read.schema(schema.struct()).parquet(self._path(name, f"v{version or self._version(name):06d}"))
+        _, schema, data = self._read_commit(name, version)
+        return self.spark.read.schema(schema.struct()).parquet(f"{self.folder.uri}/{data}")
 
     def list(self, counts: bool = False, after: str = "", limit: int = 100) -> list[dict]:
-        names = sorted(n for n in os.listdir(self.folder) if n > after and os.path.exists(self._path(n, "_schema.json")))[:limit]
+        names = [n for n in self.folder.names() if n > after and self.version(n)][:limit]
         return [{"name": n, "columns": len(self.schema(n).columns)} | ({"rows": self.read(n).count()} if counts else {}) for n in names]
 
     def _checked(self, schema: TableSchema, rows: DataFrame, mode: str) -> DataFrame:
@@ -222,15 +217,16 @@ class Store:
         self.transaction(name, [("upsert", rows)])
 
     def truncate(self, name: str) -> int:
-        before = self.read(name).count()
-        self._commit(name, self.read(name).limit(0))
-        return before
+        version, schema, _ = self._read_commit(name)
+        before = self.read(name, version)
+        n = before.count()
+        self._commit(version, schema, before.limit(0))
+        return n
 
     def evolve(self, new: TableSchema) -> list[tuple[str, str]]:
-        old = self.schema(new.name)
-        steps, rows = evolution(old, new), evolve(self.read(new.name), old, new)
-        self._put_schema(new)
-        self._commit(new.name, rows.select(new.struct().names))
+        version, old, _ = self._read_commit(new.name)
+        steps, rows = evolution(old, new), evolve(self.read(new.name, version), old, new)
+        self._commit(version, new, rows.select(new.struct().names))
         return steps
 
     def _frame(self, schema: TableSchema, rows: DataFrame | Sequence[Mapping]) -> DataFrame:
@@ -244,10 +240,23 @@ class Store:
         return self.spark.createDataFrame([tuple(r.get(c) for c in names) for r in rows], kinds)
 
     def transaction(self, name: str, ops: Sequence[tuple]) -> None:
-        """At most 100 ops in order, folded into one plan and committed once; an error names the op that failed."""
+        """At most 100 ops in order, folded into one plan and committed once; an error names the op that failed.
+
+        Keys are checked once, after the last op; if one is there twice, op by op, to name it.
+        """
         if len(ops) > MAX_OPS:
             raise TableError("too_many_ops", f"at most {MAX_OPS}")
-        schema, rows = self.schema(name), self.read(name)
+        version, schema, _ = self._read_commit(name)
+        before = self.read(name, version)
+        rows = self._apply(schema, before, ops)
+        try:
+            self._unique(schema, rows)
+        except TableError:
+            self._apply(schema, before, ops, check=True)
+            raise
+        self._commit(version, schema, rows.select(schema.struct().names))
+
+    def _apply(self, schema: TableSchema, rows: DataFrame, ops: Sequence[tuple], check: bool = False) -> DataFrame:
         for i, (op, *args) in enumerate(ops):
             try:
                 match op:
@@ -255,7 +264,7 @@ class Store:
                         rows = rows.unionByName(self._checked(schema, self._frame(schema, args[0]), "insert"))
                     case "upsert":
                         new = self._frame(schema, args[0])
-                        self._unique(TableSchema(name, tuple(c for c in schema.columns if c.primary)), new)
+                        self._unique(TableSchema(schema.name, tuple(c for c in schema.columns if c.primary)), new)
                         rows = extract(upsert(rows, self._checked(schema, new, "upsert"), schema.primary), schema)
                     case "update":
                         rows = extract(update(rows, *args), schema)
@@ -263,12 +272,12 @@ class Store:
                         rows = delete(rows, *args)
                     case _:
                         raise TableError("unknown_op", op)
-                if op in ("insert", "update", "upsert"):
+                if check:
                     self._unique(schema, rows)
             except Exception as e:
                 e.add_note(f"failed op {i}: {op}")
                 raise
-        self._commit(name, rows.select(schema.struct().names))
+        return rows
 
 
 def fold(rows: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:

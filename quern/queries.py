@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +13,7 @@ from quern.operators import aggregates as A
 from quern.operators import filters, graph, joins, lifecycle, linking, paging, search, tables, temporal, windows
 from quern.plans.execute import execute
 from quern.session import ship
-from quern.sources import extract, readers
+from quern.sources import extract, folders, readers
 from quern.streaming import jobs
 from quern.types import ColumnSpec, TableSchema
 
@@ -574,7 +573,7 @@ def lateral_topk(t):
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COSINE}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE (a.vec_id % 50 = 0 OR b.vec_id % 50 = 0) AND round({_COSINE}, 9) >= 0.3")
 def cosine_pairs_dup(t):
     asked = t.embeddings.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query")
-    found = search.knn(t.embeddings, asked, 2**31 - 1, "vec_id", exclude_self=True)
+    found = search.knn(t.embeddings, asked, 2**31 - 1, "vec_id", exclude_self=True, min_score=0.3)
     return linking.select_links(found, 2**31 - 1, 0.3).withColumn("score", F.round("score", 6))
 
 
@@ -714,10 +713,10 @@ def upsert_rows(t):
     return tables.upsert(rows, new, "s_suppkey")
 
 
-@query()
+@query("SELECT n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN 'changed' ELSE n_name END AS name, n_regionkey AS region FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 100, 'new', 9")
 def table_transaction(t):
     """A typed store in the shared folder: create, insert, update, upsert and delete in one commit."""
-    store = tables.Store(t.spark, tempfile.mkdtemp(prefix="tables-") if not t.spark.conf.get("spark.checkpoint.dir", None) else f"{t.spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/tables-{id(t)}")
+    store = tables.Store(t.spark, folders.shared(t.spark, "tables"))
     schema = TableSchema("nation", (ColumnSpec("id", "integer", primary=True), ColumnSpec("name", required=True), ColumnSpec("region", "integer")))
     store.create(schema)
     rows = t.nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("region"))
@@ -729,8 +728,7 @@ def table_transaction(t):
 
 
 def _stream(t: Tables, build: Callable[[DataFrame], DataFrame], mode: str, name: str) -> DataFrame:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}"
-    folder = f"{base}/{name}-{id(t)}"
+    folder = folders.shared(t.spark, name)
     # a file source watches a folder; the table is one file or a folder of files
     watched = _watched(t, folder)
     source = t.spark.readStream.schema(t.spark.read.parquet(watched).schema).parquet(watched)

@@ -66,11 +66,15 @@ def infer_kinds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def infer_schema(df: DataFrame, name: str) -> TableSchema:
     """Clean, distinct column names with inferred kinds, after the trace columns of an import."""
-    spark, names, seen = df.sparkSession, [], {}
+    spark, names = df.sparkSession, []
     clean = spark.createDataFrame([(i, c) for i, c in enumerate(df.columns)], "i int, c string").select("i", sanitise_identifier(F.col("c")).alias("c")).orderBy("i").collect()
+    taken = {"_row_id", "_import_id", "_source_file", "_source_row", *(r["c"] for r in clean)}
     for r in clean:
-        seen[r["c"]] = seen.get(r["c"], 0) + 1
-        names.append(r["c"] if seen[r["c"]] == 1 else f"{r['c']}_{seen[r['c']]}")
+        name, n = r["c"], 1
+        while name in names or n > 1 and name in taken:  # a suffix never makes a name that another column has
+            n += 1
+            name = f"{r['c']}_{n}"
+        names.append(name)
     kinds = {r["column"]: r["kind"] for r in infer_kinds(df, df.columns).collect()}
     trace = (ColumnSpec("_row_id", primary=True), ColumnSpec("_import_id"), ColumnSpec("_source_file"), ColumnSpec("_source_row", "integer"))
     return TableSchema(name, trace + tuple(ColumnSpec(n, kinds[c]) for n, c in zip(names, df.columns, strict=True)))
