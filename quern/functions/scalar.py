@@ -242,3 +242,52 @@ def z_score(value: Column, median: Column, scale: Column) -> Column:
 
 def estimate_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4)
+
+
+# --- language by trigrams ------------------------------------------------------------
+
+#: Trigrams of a language's profile.
+PROFILE = 300
+
+
+def _padded_trigrams(text: Column) -> Column:
+    """Runs of three characters of lower-case letters and single spaces, with a space at both ends."""
+    flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " ")), F.lit(" "))
+    # characters are cut once, so that time grows with the text's length
+    run = lambda c: F.transform(F.slice(c, 1, F.greatest(F.size(c) - 2, F.lit(0))), lambda x, i: F.concat(x, F.element_at(c, i + 2), F.element_at(c, i + 3)))
+    return F.element_at(F.transform(F.array(F.filter(F.split(flat, ""), lambda x: x != "")), run), 1)
+
+
+def language_profiles(samples, language: str = "lang", text: str = "text") -> dict[str, list[str]]:
+    """The most frequent trigrams of each language of labelled texts, most frequent first."""
+    from pyspark.sql import Window
+
+    counted = samples.select(F.col(language).alias("l"), F.explode(_padded_trigrams(F.col(text))).alias("t")).where("l is not null and length(trim(t)) > 0").groupBy("l", "t").agg(F.count("*").alias("n"))
+    best = counted.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.col("n").desc(), "t"))).where(F.col("r") <= PROFILE)
+    out: dict[str, list[str]] = {}
+    for r in best.orderBy("l", "r").collect():  # a profile a language
+        out.setdefault(r["l"], []).append(r["t"])
+    return out
+
+
+def trigram_language(text: Column, profiles: dict[str, list[str]], shortest: int = 20, threshold: float = 0.01) -> Column:
+    """(language, confidence): nearest profile by how far the text's trigrams stand from their places in it; und where unsure."""
+    places = {code: {t: i for i, t in enumerate(p)} for code, p in profiles.items()}
+
+    @pandas_udf("language string, confidence double")
+    def detect(values: pd.Series) -> pd.DataFrame:
+        from collections import Counter
+
+        rows = []
+        for value in values:
+            flat = f" {' '.join(re.findall(r'[^\W\d_]+', (value or '').lower()))} "
+            counts = Counter(flat[i : i + 3] for i in range(len(flat) - 2))
+            ranked = sorted(counts, key=lambda t: (-counts[t], t))[:PROFILE]
+            most = PROFILE * max(len(ranked), 1)
+            near = sorted(((1 - sum(abs(own[t] - i) if t in own else PROFILE for i, t in enumerate(ranked)) / most, code) for code, own in places.items()), key=lambda x: (-x[0], x[1]))
+            gap = near[0][0] - near[1][0] if len(near) > 1 else 1.0
+            sure = near and len(value or "") >= shortest and gap >= threshold
+            rows.append((near[0][1] if sure else "und", round(gap, 6)))
+        return pd.DataFrame(rows, columns=["language", "confidence"])
+
+    return detect(text)

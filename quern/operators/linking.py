@@ -137,3 +137,38 @@ def conflicts(changes: DataFrame) -> DataFrame:
     w = Window.partitionBy("node_id", "field")
     out = changes.withColumn("_win", F.max(stamp).over(w))
     return out.where((F.col("_win.device_id") != F.col("device_id"))).select("node_id", "field", "device_id", "value", F.col("_win.device_id").alias("winner"))
+
+
+# --- links on arrival, and what is decided of proposals -------------------------
+
+#: Neighbours looked at before walls, so that walls don't starve a node of its links.
+WIDEST = 400
+
+
+def link_on_arrival(vectors: DataFrame, nodes: DataFrame, new: DataFrame, k: int = PER_NODE, min_sim: float = MIN_SIM, dup_sim: float = DUP_SIM, widest: int = WIDEST, id_column: str = "id", vector: str = "embedding") -> DataFrame:
+    """a < b, score, duplicate: links of new vectors with all, within the walls of nodes (id, scopes, ecosystem, opted_out).
+
+    Both ends have the same set of scopes; a node of an ecosystem links within
+    it and with nodes of none (blank or a star), a node of none with all; a node
+    that opted out begins no links. Walls hold among the ``widest`` nearest.
+    """
+    scope_set = F.array_sort(F.array_distinct(F.coalesce("scopes", F.array().cast("array<string>"))))
+    home = F.coalesce(F.trim("ecosystem"), F.lit(""))
+    known = nodes.select("id", scope_set.alias("scopes"), F.when(home == "*", "").otherwise(home).alias("home"), F.coalesce("opted_out", F.lit(False)).alias("out"))
+    asked = new.join(known.where("not out").select(F.col("id").alias(id_column)), id_column, "left_semi").withColumnRenamed(id_column, "query")
+    found = knn(vectors, asked, widest, id_column, vector, exclude_self=True, min_score=min_sim)
+    ends = found.join(known.select(F.col("id").alias("query"), F.col("scopes").alias("_s"), F.col("home").alias("_h")), "query").join(known.select("id", "scopes", "home"), "id")
+    inside = ends.where((F.col("_s") == F.col("scopes")) & ((F.col("_h") == "") | F.col("home").isin("") | (F.col("home") == F.col("_h"))))
+    return select_links(inside.select("query", "id", "score"), k, min_sim).withColumn("duplicate", F.col("score") >= dup_sim)
+
+
+def propose(typed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Typed pairs (older, newer, verdict) that weren't rejected under the same verdict before."""
+    return typed.join(rejected.select("older", "newer", "verdict").distinct(), ["older", "newer", "verdict"], "left_anti")
+
+
+def decide(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
+    """proposals with a state: accepted or rejected as decided (older, newer, accepted), else open. Of several decisions a rejection holds."""
+    said = decisions.groupBy("older", "newer").agg(F.min("accepted").alias("_yes"))
+    out = proposals.join(said, ["older", "newer"], "left")
+    return out.withColumn("state", F.when(F.col("_yes"), "accepted").when(~F.col("_yes"), "rejected").otherwise("open")).drop("_yes")

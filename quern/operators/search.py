@@ -356,3 +356,110 @@ def capture(text: Column) -> Column:
     flat = F.trim(F.coalesce(text, F.lit("")))
     signal = flat.rlike(r"(?i)\b(decid|prefer|always|never|remember|because|must|should|agreed|conclu|fixed|root cause|convention|important)\w*")
     return (F.size(words(flat)) >= 8) & signal & ~flat.rlike(r"(?i)^(hi|hello|thanks|thank you|ok|okay)\b") & ~flat.endswith("?")
+
+
+# --- phrases, indexed vectors, embeddings ------------------------------------------
+
+
+def phrase_rank(docs: DataFrame, query: str, k: int, id_column: str = "id", text: str = "text") -> DataFrame:
+    """id, score: documents that hold any of the query's tokens, a token of several words as a phrase, ranked by their words.
+
+    A word that occurs n times weighs 0.1 (1 + 1/4 + ... + 1/n^2) / 1.64493406685,
+    and a document the mean over the query's words: the rank of the database's
+    own full text search for queries of alternatives, over the best.
+    """
+    import re
+
+    phrases = [p for p in (re.findall(r"[^\W_]+", t) for t in query.lower().split()) if p]
+    held = words(F.col(text))
+    if not phrases:
+        return docs.select(F.col(id_column).alias("id"), F.lit(0.0).alias("score")).limit(0)
+    flat = F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))
+    match = F.lit(False)
+    for p in phrases:
+        match = match | flat.contains(" " + " ".join(p) + " ")
+
+    def weight(w: str) -> Column:
+        n = F.size(F.filter("_w", lambda x: x == w))
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))).otherwise(0.0)
+
+    named = [w for p in phrases for w in p]
+    score = sum((weight(w) for w in named), F.lit(0.0)) * 0.1 / 1.64493406685 / len(named)
+    hits = docs.select(F.col(id_column).alias("id"), held.alias("_w")).where(match).select("id", score.alias("raw"))
+    best = hits.agg(F.max("raw").alias("_m"))
+    return hits.crossJoin(F.broadcast(best)).select("id", (F.col("raw") / F.col("_m")).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)  # one row
+
+
+#: Vectors that cells are fitted on at most.
+IVF_SAMPLE = 20_000
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+def ivf_fit(vectors: DataFrame, cells: int, id_column: str = "id", vector: str = "embedding", sample: int = IVF_SAMPLE, rounds: int = 12) -> np.ndarray:
+    """Centres of cells by spherical k-means on a sample of at most so many vectors, chosen by the hash of their ids."""
+    n = vectors.count()
+    share = vectors if n <= sample else vectors.where(F.pmod(F.xxhash64(id_column), F.lit(1 << 32)) < int(0.95 * sample / n * (1 << 32)))
+    taken = share.where(F.size(vector) > 0).orderBy(F.xxhash64(id_column)).limit(sample).select(vector).collect()
+    if not taken:
+        return np.zeros((0, 0))
+    width = len(taken[0][0])
+    m = _unit(np.array([r[0] for r in taken if len(r[0]) == width], float))
+    centres = m[np.linspace(0, len(m) - 1, min(cells, len(m))).astype(int)].copy()
+    for _ in range(rounds):
+        own = (m @ centres.T).argmax(1)
+        for c in range(len(centres)):
+            if (own == c).any():
+                centres[c] = m[own == c].mean(0)
+        centres = _unit(centres)
+    return centres
+
+
+def _cells(vectors: DataFrame, centres: np.ndarray, probes: int, id_column: str, vector: str) -> DataFrame:
+    kind = vectors.schema[id_column].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            data = [(n, x) for n, x in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True) if x is not None and len(x) == centres.shape[1]]
+            if data:
+                near = np.argsort(-(_unit(np.array([x for _, x in data], float)) @ centres.T), axis=1, kind="stable")[:, :probes]
+                yield pa.RecordBatch.from_pydict({"id": pa.array([n for n, _ in data], batch.column("id").type), "v": pa.array([x for _, x in data], pa.list_(pa.float64())), "cells": pa.array(near.tolist(), pa.list_(pa.int32()))})
+
+    return vectors.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"id {kind}, v array<double>, cells array<int>")
+
+
+def ivf_index(vectors: DataFrame, centres: np.ndarray, id_column: str = "id", vector: str = "embedding") -> DataFrame:
+    """id, v, cell of every vector: an index to be written partitioned by cell."""
+    return _cells(vectors, centres, 1, id_column, vector).select("id", "v", F.col("cells")[0].alias("cell"))
+
+
+def ivf_search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int, query_id: str = "query", vector: str = "embedding") -> DataFrame:
+    """query, id, score, rank: neighbours within the probed cells of each query; the exact ones if all cells are probed."""
+    asked = _cells(queries, centres, probes, query_id, vector).select(F.col("id").alias("query"), F.col("v").alias("_q"), F.explode("cells").alias("cell"))
+    from quern.functions.scalar import cosine
+
+    scored = index.join(asked, "cell").select("query", "id", F.round(cosine(F.col("_q"), F.col("v")), 9).alias("score"))
+    return head(scored, k)
+
+
+def embedded(docs: DataFrame, embedder, width: int, id_column: str = "id", text: str = "text", rows: int = 64, budget: int = 1 << 20) -> DataFrame:
+    """id, embedding by a function of a list of texts that gives a matrix, called with at most so many rows and bytes of text at once."""
+    kind = docs.schema[id_column].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column("id"), [x or "" for x in batch.column("text").to_pylist()]
+            out, held, size = [], [], 0
+            for x in texts:
+                if held and (len(held) == rows or size + len(x) > budget):
+                    out += list(embedder(held))
+                    held, size = [], 0
+                held.append(x)
+                size += len(x)
+            out += list(embedder(held)) if held else []
+            yield pa.RecordBatch.from_pydict({"id": ids, "embedding": pa.array([[float(y) for y in v] for v in out], pa.list_(pa.float64()))})
+
+    return docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, embedding array<double>")

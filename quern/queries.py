@@ -116,9 +116,9 @@ def bounded_count(t):
     return paging.bounded_count(t.lineitem.where(filters.compile_filter({"gt": {"l_quantity": 5}})), 1000)
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'a')")
+@query("SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'small ')")
 def id_prefix(t):
-    return t.part.where(filters.id_prefix(F.col("p_name"), "a")).select("p_partkey", "p_name")
+    return t.part.where(filters.id_prefix(F.col("p_name"), "small ")).select("p_partkey", "p_name")
 
 
 @query("SELECT * FROM (VALUES (0, 7), (1, 3), (2, 11)) v(place, c_custkey) JOIN (SELECT c_custkey, c_name FROM customer) USING (c_custkey)")
@@ -170,9 +170,9 @@ def join_four_hops(t):
     return out.groupBy(F.col("`region.r_name`").alias("r_name")).agg(F.count("*").alias("n"), F.round(F.sum("`lineitem.l_extendedprice`"), 2).alias("total"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 def anti_orphans(t):
-    return joins.anti(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return joins.anti(t.customer.select("c_custkey"), t.orders.where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
@@ -453,9 +453,10 @@ def neighbours(t):
     return graph.neighbours(_edges(t), _nodes(t), _ids(t, "n5")).select("to", "direction", "relation", "label")
 
 
-@query(f"WITH e AS ({_EDGES_SQL}) SELECT 'customer ' || substr(id, 2) AS label FROM (SELECT 'c' || c_custkey AS id FROM customer) WHERE id NOT IN (SELECT src FROM e WHERE relation = 'placed_by' UNION SELECT dst FROM e WHERE relation = 'placed_by')")
+@query(f"WITH e AS ({_EDGES_SQL}) SELECT 'customer ' || substr(id, 2) AS label FROM (SELECT 'c' || c_custkey AS id FROM customer) WHERE id NOT IN (SELECT 'c' || o_custkey FROM orders WHERE o_totalprice > 250000)")
 def graph_orphans(t):
-    placed = _edges(t).where("relation = 'placed_by'")
+    dear = t.orders.where("o_totalprice > 250000").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("src"))
+    placed = _edges(t).where("relation = 'placed_by'").join(dear, "src", "left_semi")
     return graph.orphans(_nodes(t).where("type = 'customer'"), placed).select("label")
 
 
@@ -666,11 +667,6 @@ def html_text(t):
     return t.pages.select("page_id", extract.html_text(F.col("html")).alias("text"))
 
 
-@query()
-def html_tables(t):
-    return extract.html_tables(t.pages, "page_id", "html")
-
-
 @query("SELECT event_id, CASE WHEN k = 'graph.node' THEN k ELSE 'verbatim' END AS target FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'graph.node' ELSE 'x' END AS k FROM events)")
 def row_router(t):
     named = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.lit("n").alias("type"), F.lit("l").alias("label")))).otherwise(F.to_json(F.struct(F.col("event_type").alias("text"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -105,3 +106,23 @@ def mirror(stream: DataFrame, adapters: dict[str, Callable[[DataFrame], None]],
 def incremental(rows: DataFrame, updated: str, watermark, overlap: str = "5 minutes") -> DataFrame:
     """Rows of a pass: changed since the last watermark less an overlap, in which late ones are seen again."""
     return rows.where(F.col(updated) >= F.lit(watermark).cast("timestamp") - F.expr(f"interval {overlap}"))
+
+
+class Slots:
+    """At most so many jobs of a workspace at once, and of all: a job that finds no slot is told when to come again."""
+
+    def __init__(self, each: int = 2, total: int = 8, retry_seconds: int = 5):
+        self.each, self.total, self.retry_seconds, self.held, self._lock = each, total, retry_seconds, {}, threading.Lock()
+
+    def enter(self, workspace: str) -> int:
+        """0 if the job may run, else the seconds to wait before another try."""
+        with self._lock:
+            if self.held.get(workspace, 0) >= self.each or sum(self.held.values()) >= self.total:
+                return self.retry_seconds
+            self.held[workspace] = self.held.get(workspace, 0) + 1
+            return 0
+
+    def leave(self, workspace: str) -> None:
+        with self._lock:
+            n = self.held.get(workspace, 0) - 1
+            self.held.pop(workspace, None) if n <= 0 else self.held.update({workspace: n})

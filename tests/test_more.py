@@ -282,3 +282,81 @@ def test_streams_rest(spark, tmp_path):
     stream = jobs.deduplicated(jobs.files(spark, str(tmp_path / "in"), reads.schema), "id", "at")
     jobs.run(stream, lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "d"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_indexed_vectors_find_nine_of_ten_neighbours(spark):
+    import numpy as np
+
+    from quern.operators import search
+
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    asked = vectors.where("id % 50 = 0").withColumnRenamed("id", "query")
+    centres = search.ivf_fit(vectors, 32)
+    index = search.ivf_index(vectors, centres)
+    assert index.count() == vectors.count()
+    exact = {(r["query"], r["id"]) for r in search.knn(vectors, asked, 10).collect()}
+    found = {(r["query"], r["id"]) for r in search.ivf_search(index, centres, asked, 10, 20).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+    every = {(r["query"], r["id"]) for r in search.ivf_search(index, centres, asked.limit(20), 10, 32).collect()}
+    assert every == {p for p in exact if p[0] in {q for q, _ in every}}
+    assert search.ivf_fit(vectors.limit(0), 4).shape == (0, 0) and np.isfinite(centres).all()
+
+
+def test_embeddings_are_made_in_batches_of_bounded_size(spark):
+    from quern.operators import search
+
+    def embedder(texts):
+        assert len(texts) <= 3 and (len(texts) == 1 or sum(map(len, texts)) <= 20)
+        return [[len(x), 1.0] for x in texts]
+
+    docs = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([1, 5, 30, 2, 2, 2, 2, 0, 19])] + [(9, None)], "id long, text string")
+    got = {r["id"]: r["embedding"][0] for r in search.embedded(docs, embedder, 2, rows=3, budget=20).collect()}
+    assert got == {0: 1, 1: 5, 2: 30, 3: 2, 4: 2, 5: 2, 6: 2, 7: 0, 8: 19, 9: 0}
+
+
+def test_slots():
+    from quern.streaming.jobs import Slots
+
+    s = Slots(each=2, total=3)
+    assert [s.enter("a"), s.enter("a"), s.enter("a"), s.enter("b"), s.enter("c")] == [0, 0, 5, 0, 5]
+    s.leave("a")
+    assert s.enter("c") == 0 and s.enter("b") == 5
+
+
+def test_store_refuses_the_second_of_two_writers(spark, tmp_path):
+    from quern.operators import tables
+    from quern.types import ColumnSpec, TableError, TableSchema
+
+    store = tables.Store(spark, str(tmp_path / "with space"))
+    store.create(TableSchema("x", (ColumnSpec("id", "integer", primary=True),)))
+    version, schema, _ = store._read_commit("x")
+    store.insert("x", [{"id": 1}])
+    with pytest.raises(TableError, match="write_conflict"):
+        store._commit(version, schema, store.read("x").limit(0))
+    assert [r["id"] for r in store.read("x").collect()] == [1]
+    with pytest.raises(TableError, match="duplicate_key") as e:
+        store.transaction("x", [("insert", [{"id": 2}]), ("insert", [{"id": 1}])])
+    assert "failed op 1: insert" in e.value.__notes__
+    with pytest.raises(TableError, match="unknown_table"):
+        store.read("y")
+    assert not [n for n in store.folder.names("x/commits") if n.startswith(".")]
+
+
+def test_bm25_is_the_same_by_pattern_and_by_words(spark, sf, monkeypatch):
+    from quern.operators import search
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    asked = spark.createDataFrame([("q1", "the thing edged"), ("q2", "token onneing")], "query string, text string")
+    rows = lambda: [(r["query"], r["id"], round(r["score"], 9)) for r in search.bm25(docs, asked, 20, "doc_id").orderBy("query", "rank").collect()]
+    one = rows()
+    monkeypatch.setattr(search, "MAX_PATTERN_TERMS", 1)
+    assert rows() == one and one
+
+
+def test_as_of_joins_carry_over_days_and_numbers(spark):
+    from quern.operators import joins
+
+    left = spark.createDataFrame([(1, 5.0), (1, 250_000.0), (1, 90_000.0), (2, 7.0), (None, 3.0)], "k int, t double")
+    right = spark.createDataFrame([(1, 1.0, "a"), (1, 90_000.0, "b"), (2, 8.0, "c"), (None, 1.0, "d"), (1, 1.0, "0")], "k int, u double, v string")
+    got = {(r["k"], r["t"]): r["v"] for r in joins.as_of_join(left, right, "k", "t", "u", ["v"]).collect()}
+    assert got == {(1, 5.0): "a", (1, 90_000.0): "b", (1, 250_000.0): "b", (2, 7.0): None, (None, 3.0): "d"}

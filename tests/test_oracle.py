@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quern.queries import ORACLE_SQL, QUERIES
+from quern.more_queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
