@@ -40,6 +40,8 @@ SAMPLE, FREQUENT, MOST = 20_000, 3, 1 << 18
 RADIUS = 32
 #: Rows of a shingle that are compared at once; more meet chunk by chunk in tasks of their own.
 TILE = 65_536
+#: Rows that tiles are compared by together at least.
+TABLE = 1 << 14
 #: Rows of a group that a task compares by their sets: some 15 MB.
 MEMBERS = 4096
 #: Rows of a tile up to which it is compared together with others.
@@ -174,7 +176,7 @@ def candidates(sets_: DataFrame, renumbered: DataFrame | None = None) -> DataFra
             chunk = chunks[token] = chunks.get(token, -1) + 1
             yield batch({"a": part.column("c").to_numpy(), "b": pa.nulls(part.num_rows, pa.int64())}, {"token": part.column("token").combine_chunks(), "chunk": pa.array(np.full(part.num_rows, chunk), pa.int32()), "f0": part.column("f0").combine_chunks(), "f1": part.column("f1").combine_chunks()})
 
-        return _io.whole(batches, ["token"], meet, least=TILE, spill=spill, most=TILE)
+        return _io.whole(batches, ["token"], meet, least=TABLE, spill=spill, most=TILE)
 
     def across(batches):
         def links_(part: pa.Table):
