@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 import re
+import weakref
 
 _SPACE = re.compile(r"[^\S \n]").search
 
 
+_every: weakref.WeakSet = weakref.WeakSet()
+
+
+def forget() -> None:
+    """Empties the memories of this worker, which Spark may give to another operator's tasks after a tokenizer's."""
+    for memo in list(_every):
+        memo.clear()
+        memo.old = {}
+
+
 class Memo(dict):
     """Key -> make(key), in two generations of at most limit entries.
 
@@ -15,9 +26,12 @@ class Memo(dict):
     generation, and memory is bounded whatever the corpus.
     """
 
+    __hash__ = object.__hash__
+
     def __init__(self, make, limit: int):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
+        _every.add(self)
 
     def __missing__(self, key):
         if (value := self.old.get(key)) is None:

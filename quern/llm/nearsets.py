@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import _io, _text
+from quern.llm import _io, _memo, _text
 from quern.llm._tiles import distance, forest, majority, near, unite
 
 #: Documents of the sample by which frequent shingles are known, how many of them hold one, and shingles at most.
@@ -106,6 +106,7 @@ def prefixes(docs: DataFrame, width: int, least: float, late: np.ndarray) -> Dat
         return s[: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1]
 
     def one(batch: pa.RecordBatch) -> dict:
+        _memo.forget()
         rows = [(len(s), s.sum(dtype=np.uint64), _text.mix(s + np.uint64(1)).sum(dtype=np.uint64), *majority(s, 2), first(s)) for s in sets(batch.column("text"), width)]
         n, h1, h2, f0, f1, heads = zip(*rows, strict=True) if rows else ((),) * 6
         return {"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "n": np.array(n, np.int64), "h1": _signed(h1), "h2": _signed(h2), "f0": _signed(f0), "f1": _signed(f1), "first": _lists(list(heads))}
@@ -167,6 +168,7 @@ def candidates(sets_: DataFrame, renumbered: DataFrame | None = None) -> DataFra
         yield batch(_links(ids, root))
 
     def run(batches):
+        _memo.forget()
         chunks: dict[int, int] = {}
 
         def spill(part: pa.Table):
@@ -243,6 +245,7 @@ def links(docs: DataFrame, classes_: DataFrame, groups: DataFrame, width: int, l
     texts = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("component", "c", "chunks", "text")
 
     def one(batch: pa.RecordBatch) -> dict:
+        _memo.forget()
         own = list(sets(batch.column("text"), width))
         prints = [majority(s, 2) for s in own]
         return {k: batch.column(k) for k in ("component", "c", "chunks")} | {"f0": _signed([f for f, _ in prints]), "f1": _signed([f for _, f in prints]), "s": _lists(own)}

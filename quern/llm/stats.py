@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import _io
+from quern.llm import _io, _memo
 from quern.llm._text import ASCII_SPACE, blocks, doc_of, numbered, per_doc, words
 
 SYMBOLS = b"#*$%&|<>"
@@ -123,6 +123,7 @@ def attached(docs: DataFrame, text: str = "text") -> DataFrame:
     source = _io.packed(docs)
 
     def one(batch: pa.RecordBatch) -> dict:
+        _memo.forget()
         rows = [measure(data, offsets) for _, _, data, offsets in blocks(_io.field(batch, text))]
         values = np.concatenate(rows) if rows else np.zeros((0, len(NAMES)), np.int64)
         return {"_row": batch.column("_row")} | {n: values[:, i] for i, n in enumerate(NAMES)}
