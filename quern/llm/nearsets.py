@@ -79,11 +79,20 @@ def frequent(docs: DataFrame, width: int) -> np.ndarray:
     """Shingles of several documents of a sample (columns doc_id, text), rarest first."""
 
     def one(batch: pa.RecordBatch) -> dict:
-        return {"s": np.concatenate([np.zeros(0, np.uint64), *sets(batch.column("text"), width)]).view(np.int64)}
-
-    found = _io.arrow(_io.sampled(docs, SAMPLE), one, "s long").groupBy("s").count().where(F.col("count") >= FREQUENT)
-    rows = found.orderBy(F.col("count").desc(), "s").limit(MOST).select("s").toArrow()
-    return rows.column("s").to_numpy().view(np.uint64)[::-1].copy()
+        found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets(batch.column("text"), width)]), return_counts=True)
+        return {"s": found.view(np.int64), "n": n}
+
+    found = _io.checkpoint(_io.arrow(_io.sampled(docs, SAMPLE), one, "s long, n long").groupBy("s").agg(F.sum("n").alias("count")).where(F.col("count") >= FREQUENT))
+    # the least count of which there aren't too many; no shingles are sorted for that
+    total, least = 0, SAMPLE + 1
+    for r in found.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.col("count").desc()).collect():  # no more rows than the sample has documents
+        total += r["n"]
+        if total > MOST:
+            break
+        least = r["count"]
+    rows = found.where(F.col("count") >= least).toArrow()
+    order = np.lexsort((rows.column("s").to_numpy(), rows.column("count").to_numpy()))
+    return rows.column("s").to_numpy()[order].view(np.uint64)
 
 
 def _signed(values) -> np.ndarray:
