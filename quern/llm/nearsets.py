@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quern.llm import _io, _memo, _text
 from quern.llm._tiles import distance, forest, majority, near, unite
 
-#: Documents of the sample by which frequent shingles are known, how many of them hold one, and shingles at most.
+#: Documents of the sample by which frequent shingles are known, about, how many of them hold one, and shingles at most.
 SAMPLE, FREQUENT, MOST = 20_000, 3, 1 << 18
 #: Differing bits, of 128, up to which fingerprints are candidates: three deviations beyond those of a similarity of 0.8.
 RADIUS = 32
@@ -82,7 +82,9 @@ def frequent(docs: DataFrame, width: int) -> np.ndarray:
         found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets(batch.column("text"), width)]), return_counts=True)
         return {"s": found.view(np.int64), "n": n}
 
-    found = _io.checkpoint(_io.arrow(_io.sampled(docs, SAMPLE), one, "s long, n long").groupBy("s").agg(F.sum("n").alias("count")).where(F.col("count") >= FREQUENT))
+    share = SAMPLE / max(docs.count(), 1)
+    sample = docs if share >= 1 else docs.where(F.rand(7) < share)  # of rows and not of ids, and in as many tasks as docs
+    found = _io.checkpoint(_io.arrow(sample, one, "s long, n long").groupBy("s").agg(F.sum("n").alias("count")).where(F.col("count") >= FREQUENT))
     # the least count of which there aren't too many; no shingles are sorted for that
     total, least = 0, SAMPLE + 1
     for r in found.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.col("count").desc()).collect():  # no more rows than the sample has documents
