@@ -306,10 +306,13 @@ def link_diff(t):
 
 @query("SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE o_orderkey + 1000000 END AS older, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 1000000 ELSE o_orderkey END AS newer, CASE WHEN o_orderkey % 3 = 0 THEN 'supersedes' ELSE 'related_to' END AS verdict FROM orders")
 def typed_pairs(t):
-    pairs = t.orders.select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1000000).alias("b"), F.when(F.col("o_orderkey") % 3 == 0, 0.99).otherwise(0.9).alias("score"))
-    first = t.orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, ts("2024-01-01")).otherwise(ts("2024-01-03")).alias("created_at"))
-    second = t.orders.select((F.col("o_orderkey") + 1000000).alias("id"), ts("2024-01-02").alias("created_at"))
-    return linking.type_pairs(pairs, first.unionByName(second)).select("older", "newer", "verdict")
+    """Ids name the copy that a node is of: beyond a million orders a shifted key is another order's too."""
+    node = lambda copy: F.struct(F.lit(copy).alias("copy"), (F.col("o_orderkey") + copy * 1000000).alias("id"))
+    pairs = t.orders.select(node(0).alias("a"), node(1).alias("b"), F.when(F.col("o_orderkey") % 3 == 0, 0.99).otherwise(0.9).alias("score"))
+    first = t.orders.select(node(0).alias("id"), F.when(F.col("o_orderkey") % 2 == 0, ts("2024-01-01")).otherwise(ts("2024-01-03")).alias("created_at"))
+    second = t.orders.select(node(1).alias("id"), ts("2024-01-02").alias("created_at"))
+    nodes = first.unionByName(second).dropDuplicates(["id"])
+    return linking.type_pairs(pairs, nodes).select(F.col("older.id").alias("older"), F.col("newer.id").alias("newer"), "verdict")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_id % 4 <> 0")

@@ -42,3 +42,13 @@ def test_matches_sql(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, sf, name):
     QUERIES[name](spark, sf).collect()
+
+
+def test_typed_pairs_of_keys_a_million_apart(spark, tmp_path):
+    keys = [0, 1, 2, 1000000, 1000001, 1000002, 2000001, 2000001, 3000003, None]
+    path = tmp_path / "orders.parquet"
+    pd.DataFrame({"o_orderkey": pd.array(keys, dtype="Int64")}).to_parquet(path)
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{path}'")
+    ours, theirs = QUERIES["typed_pairs"](spark, str(tmp_path)).toPandas(), con.sql(ORACLE_SQL["typed_pairs"]).df()
+    assert len(ours) == len(keys) and canonical(ours) == canonical(theirs)
